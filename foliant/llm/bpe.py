@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ask, buckets_of, chunks, home, pack_strings, planes, squeeze, tabled, unpack_strings, unplanes, unsqueeze, untabled
+from .exchange import ask, buckets_of, chunks, home, pack_ranked, pack_strings, planes, squeeze, tabled, unpack_ranked, unpack_strings, unplanes, unsqueeze, untabled
 
 #: White space as the pattern's engine has it (the Unicode property), which is not Python's.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Larger than other exchanges': a chunk's distinct units grow less than its text.
+CHUNK_BYTES = 32 << 20
 UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 
 
@@ -75,13 +77,19 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             own = units(text, pattern)
             sizes.append(len(own))
             rows.append(np.fromiter(map(take, own), np.uint32, len(own)))
-        keys = [k.encode("utf-8", "surrogatepass") for k in numbers]
+        flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
+        del rows
+        # numbered by how often they stand there: most numbers are then of one byte
+        order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        flat, keys = number[flat], list(numbers)
+        keys = [keys[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
         to = np.fromiter((xxhash.xxh3_64_intdigest(k) % n_buckets for k in keys), np.uint16, len(keys))
         by = {int(b): [] for b in np.unique(to)}
         for k, b in zip(keys, to.tolist(), strict=True):
             by[b].append(k)
-        flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
-        payload = squeeze(tabled(table.select(["id"])), np.array(sizes, np.uint32).tobytes(), planes(flat), planes(to))
+        payload = squeeze(tabled(table.select(["id"])), np.array(sizes, np.uint32).tobytes(), planes(to), *pack_ranked(flat))
         return payload, {b: squeeze(*pack_strings(ks)) for b, ks in by.items()}
 
     def resolve(_, blobs):
@@ -97,9 +105,9 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
         return out
 
     def finish(payload, answers):
-        ids, sizes, flat, to = unsqueeze(payload)
+        ids, sizes, to, *flat = unsqueeze(payload)
         rows, sizes = untabled(ids), np.frombuffer(sizes, np.uint32)
-        flat, to = unplanes(flat, np.uint32), unplanes(to, np.uint16)
+        flat, to = unpack_ranked(*flat), unplanes(to, np.uint16)
         as_text, as_bytes, counts, tokens = [""] * len(to), [b""] * len(to), np.zeros(len(to), np.int64), [None] * len(to)
         names, spelled = token_table(path, pattern)
         for b, blob in answers.items():
@@ -133,7 +141,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    table = chunks(docs, "text", make, "bpe")
+    table = chunks(docs, "text", make, "bpe", CHUNK_BYTES)
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else f"`{id_col}` {kind}, ids array<int>, decoded binary"
     return home(table, ask(table, resolve), finish, schema)
 

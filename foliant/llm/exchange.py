@@ -14,21 +14,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import width, written
+from .shared import small_batches, width, written
 
 CHUNK_BYTES = 8 << 20
+LEVEL = 9
 TABLE = "chunk string, bucket int, payload binary, keys binary"
 ANSWERS = "chunk string, bucket int, answer binary"
 
 
 def squeeze(*parts: bytes) -> bytes:
     head = struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts))
-    return zstandard.ZstdCompressor(3).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(LEVEL).compress(head + b"".join(parts))
 
 
 def unsqueeze(blob: bytes) -> list[memoryview]:
@@ -51,6 +53,25 @@ def unplanes(raw, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1) if len(raw) else np.empty(0, dtype)
 
 
+def pack_ranked(x: np.ndarray) -> list[bytes]:
+    """Three parts for numbers that are small when frequent: one byte each, two more for those from 224 on, the rest above 2^21."""
+    high = x >= 224
+    big = x[high]
+    over = big >> 16
+    one = x.astype(np.uint8)
+    one[high] = 224 + np.minimum(over, 31)
+    return [one.tobytes(), planes((big & 0xFFFF).astype(np.uint16)), over[over >= 31].astype(np.uint32).tobytes()]
+
+
+def unpack_ranked(one, low, over) -> np.ndarray:
+    out = np.frombuffer(one, np.uint8).astype(np.uint32)
+    high = out >= 224
+    top = out[high] - 224
+    top[top == 31] = np.frombuffer(over, np.uint32)
+    out[high] = (top << 16) | unplanes(low, np.uint16)
+    return out
+
+
 def pack_strings(words: list[bytes]) -> tuple[bytes, bytes]:
     return np.fromiter(map(len, words), np.uint32, len(words)).tobytes(), b"".join(words)
 
@@ -74,7 +95,7 @@ def by_chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_B
     held, size = [], 0
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64) + 16
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 16
         start, run = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if size + run and size + run + n > limit:
@@ -89,18 +110,19 @@ def by_chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_B
         yield pa.Table.from_batches(held)
 
 
-def chunks(df: DataFrame, text: str, make: Callable[[pa.Table], tuple[bytes, dict[int, bytes]]], name: str) -> DataFrame:
+def chunks(df: DataFrame, text: str, make: Callable[[pa.Table], tuple[bytes, dict[int, bytes]]], name: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """Written table of chunks. ``make`` turns a chunk's rows into its payload and its keys by bucket."""
     schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary()), ("keys", pa.binary())])
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for k, table in enumerate(by_chunks(batches, text)):
+        for k, table in enumerate(by_chunks(batches, text, limit)):
             payload, keys = make(table)
             chunk, order = f"{part}-{k}", sorted(keys)
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * (1 + len(order))), pa.array([-1, *order], pa.int32()), pa.array([payload] + [None] * len(order), pa.binary()), pa.array([None, *(keys[b] for b in order)], pa.binary())], schema=schema)
 
-    return written(df.mapInArrow(run, TABLE), name)
+    with small_batches(df.sparkSession):
+        return written(df.mapInArrow(run, TABLE), name)
 
 
 def ask(table: DataFrame, resolve: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -51,3 +52,15 @@ def crc_mod_col(doc_id, n: int):
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; bytes.split() cuts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Plans that run inside pass texts to Python in batches of about ``size``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)

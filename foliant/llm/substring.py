@@ -2,7 +2,7 @@
 
 Each window of ``size`` words is counted in the sketch under its anchor, the least hash of the runs of ``ANCHOR`` words
 inside it. Equal windows have equal anchors, so the merged sketches of all parts never count a window too low; one whose
-estimate is 1 is unique and goes no further. The others are grouped exactly by 128-bit digests: a chunk sends each of
+estimate is 1 is unique and goes no further. The others are grouped exactly by 96-bit digests: a chunk sends each of
 its distinct digests once (``exchange``), so a passage in a third of the corpus is one entry for each chunk.
 
 The sketch has two rows of cells, sized with the input up to ``MOST_CELLS`` each: what is broadcast is one bit a cell,
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ask, buckets_of, chunks, home, planes, squeeze, tabled, unplanes, unsqueeze, untabled
-from .shared import width, words_of
+from .shared import small_batches, width, words_of
 
 SIZE, ANCHOR = 35, 20
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
@@ -37,7 +37,7 @@ class Hashes(dict):
     """64-bit hashes of words, in a cache of bounded size."""
 
     def __missing__(self, word):
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -154,7 +154,9 @@ def sketch(texts: DataFrame, n_chars: int, size: int, anchor: int) -> tuple[list
     merged = texts.mapInArrow(part, "shard int, cells binary").repartition(min(2 * SHARDS, max(width(texts.sparkSession), 12)), "shard").mapInArrow(merge, "shard int, cells binary")
     rows = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(2)]
     per = (1 << int(low)) // 8
-    for r in merged.toLocalIterator():
+    with small_batches(texts.sparkSession):
+        found = merged.collect()  # one bit for each cell, compressed
+    for r in found:
         s = r.shard % SHARDS
         rows[r.shard // SHARDS][s * per : (s + 1) * per] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.cells), np.uint8)
     return rows, bits
@@ -198,21 +200,27 @@ def remove_repeats(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         new = np.ones(len(order), bool)
         new[1:] = (keys[order][1:] != keys[order][:-1]).any(1)
+        ranks = np.cumsum(new) - 1
+        first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+        times = np.diff(np.flatnonzero(np.append(new, True)))
+        # numbered by where they first stand, so that the windows of a run have numbers in a row
+        by_place = np.argsort(first)
+        number = np.empty(len(by_place), np.uint32)
+        number[by_place] = np.arange(len(by_place), dtype=np.uint32)
         which = np.empty(len(order), np.uint32)
-        which[order] = np.cumsum(new) - 1
-        distinct, times = keys[order][new], np.diff(np.flatnonzero(np.append(new, True)))
+        which[order] = number[ranks]
+        distinct, times = keys[first[by_place]], times[by_place]
         to = (distinct[:, 0] % np.uint64(n_buckets)).astype(np.uint16)
         out = {}
         for b in np.unique(to).tolist():
             own = to == b
-            out[b] = squeeze(planes(distinct[own, 0].copy()), planes(distinct[own, 1].copy()), np.packbits(times[own] > 1).tobytes())
-        # a run of windows of one text mostly has one count: flags come back by distinct window
-        payload = squeeze(tabled(table), planes(np.diff(at, prepend=0).astype(np.uint32)), planes(which), planes(to))
+            out[b] = squeeze(distinct[own, 0].tobytes(), (distinct[own, 1] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(times[own] > 1).tobytes())
+        payload = squeeze(tabled(table), planes(np.diff(at, prepend=0).astype(np.uint32)), planes(np.diff(which, prepend=np.uint32(0))), planes(to))
         return payload, out
 
     def resolve(_, blobs):
         parts = [unsqueeze(b) for b in blobs]
-        parts = [(unplanes(a, np.uint64), unplanes(b, np.uint64), m) for a, b, m in parts]
+        parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), m) for a, b, m in parts]
         sizes = [len(a) for a, _, _ in parts]
         a, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for (_, _, m), n in zip(parts, sizes, strict=True)]).astype(bool)
@@ -227,7 +235,7 @@ def remove_repeats(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
 
     def finish(payload, answers):
         raw, at, which, to = unsqueeze(payload)
-        table, at, which, to = untabled(raw), np.cumsum(unplanes(at, np.uint32), dtype=np.int64), unplanes(which, np.uint32), unplanes(to, np.uint16)
+        table, at, which, to = untabled(raw), np.cumsum(unplanes(at, np.uint32), dtype=np.int64), np.cumsum(unplanes(which, np.uint32), dtype=np.uint32), unplanes(to, np.uint16)
         repeated = np.zeros(len(to), bool)
         for b, blob in answers.items():
             own = np.flatnonzero(to == b)
