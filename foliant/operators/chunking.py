@@ -99,7 +99,7 @@ class Packer:
             else:
                 held.append(line)
                 used += cost
-        return out + ["\n".join(held)] * bool(held)
+        return out + ["\n".join(held)] if held else out
 
     def table(self, block: str) -> list[str]:
         """Rows under a repeated header; a table without a header, or with one that fills the budget, is plain lines."""
@@ -156,7 +156,7 @@ class Packer:
                 used = sum(p.cost for p in held)
             held.append(piece)
             used += piece.cost
-        return out + [joined(held)] * bool(held)
+        return out + [joined(held)] if held else out
 
     def body(self, text: str) -> list[str]:
         """Windows of a section: tables by themselves, the prose between them together."""

@@ -27,12 +27,12 @@ def html_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Columns slug and html of a folder's ``*.html`` files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.html$", 1), "%20", " ")
-    return files.select(name.alias("slug"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select(name.alias("slug"), F.decode("content", "UTF-8").alias("html"))
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """Crawled pages (url, body) as rows of slug and html; the body goes no further than this table."""
-    pages.select(urls.slug(F.col("url")).alias("slug"), "url", F.decode("body", F.lit("UTF-8")).alias("html")).write.mode("append").parquet(path)
+    pages.select(urls.slug(F.col("url")).alias("slug"), "url", F.decode("body", "UTF-8").alias("html")).write.mode("append").parquet(path)
 
 
 def not_crawled(links: DataFrame, present: DataFrame) -> DataFrame:
