@@ -73,3 +73,8 @@ def error_category(content: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, rounded down."""
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)
+
+
+def bad_arguments(arguments: Column) -> Column:
+    """Whether a call's arguments are no JSON object; the caller is told to rephrase."""
+    return F.coalesce(~F.ltrim(arguments).startswith("{"), F.lit(True)) | F.try_parse_json(arguments).isNull()

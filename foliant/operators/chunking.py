@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -228,6 +228,20 @@ def chunk_articles(articles: DataFrame, tokenizer: Tokenizer | None = None, max_
     return own.mapInArrow(run, ddl)
 
 
+class ChunkArticle:
+    """The packer as a table function: rows of the chunks table for one article."""
+
+    def eval(self, doc_id: str, title: str, category: str, body_md: str, max_tokens: int, overlap: int):
+        if body_md is not None:
+            for i, (path, text, n) in enumerate(passages(body_md, title or "", WordTokenizer(), max_tokens, overlap)):
+                yield f"{doc_id}#{i:03d}", doc_id, i, list(path), text, category, n
+
+
+def register(spark: SparkSession, name: str = "chunk_article") -> None:
+    """For SQL: ``SELECT c.* FROM articles, LATERAL chunk_article(doc_id, title, category, body_md, 450, 50) c``."""
+    spark.udtf.register(name, F.udtf(ChunkArticle, returnType=CHUNK_DDL))
+
+
 def limit_report(chunks: DataFrame, max_tokens: int = 450) -> DataFrame:
     """One row: chunks over the budget and over the hard limit, the largest, and five ids over the hard limit."""
     hard = int(max_tokens * (1 + MARGIN))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import BadRequest
 from ..settings import RetrievalSettings
 from . import fusion, metrics, vector
+from .answers import SEARCH_K, request_error
 from .common import bounded, size_of, small, written
 from .embedding import Embedder, embed_column
 from .lexical import LexicalIndex
@@ -65,6 +67,26 @@ class Retriever:
     def _bm25(self, queries, k, category):
         return self.index.search(queries, k, category, self.settings.title_weight, self.settings.text_weight)
 
+    def serve(self, requests: DataFrame, categories: list[str]) -> DataFrame:
+        """Requests (query_id, query, k, category) as a search tool takes them: hybrid, reranked from the best ``rerank_fetch_k``.
+
+        A request out of bounds gives one row with ``error_category``; one without hits gives one with ``message``. The
+        distinct categories, an advertised list, are one plan each; ranks don't depend on k within its bounds.
+        """
+        k = F.coalesce("k", F.lit(SEARCH_K[0]))
+        checked = requests.select("query_id", "query", k.alias("k"), "category", request_error(F.col("query"), k, F.col("category"), categories).alias("error_category"))
+        good, parts = checked.filter("error_category IS NULL"), []
+        for c in [None, *categories]:
+            asked = good.filter(F.col("category").eqNullSafe(F.lit(c)))
+            if not asked.isEmpty():
+                hits = self.search(asked, SEARCH_K[1], category=c, rerank=self.reranker is not None, fetch_k=self.settings.rerank_fetch_k)
+                parts.append(hits.join(small(asked.select("query_id", "k")), "query_id").filter("rank <= k").select("query_id", "rank", "score", "chunk_id", "title", "url", F.col("text").alias("body"), "full_article_length"))
+        columns = ["rank", "score", "chunk_id", "title", "url", "body", "full_article_length"]
+        found = reduce(DataFrame.unionByName, parts) if parts else checked.limit(0).select("query_id", *[F.lit(None).alias(n) for n in columns])
+        out = checked.join(found, "query_id", "left")
+        message = F.when(F.col("error_category").isNull() & F.col("rank").isNull(), "no passage matches")
+        return out.select("query_id", *columns, message.alias("message"), "error_category")
+
     def hydrate(self, found: DataFrame, at_most: int) -> DataFrame:
         """Rows of the chunks behind the ids; the found side, k rows a query, is broadcast if that is little."""
         own = self.chunks.drop("embedding").withColumnRenamed("chunk_id", "id")

@@ -1,6 +1,6 @@
 """Run events as a stream: the log, the fold into run states, and time windows.
 
-The reference's stream is a run's events in order; ``fold`` keeps each run's state across batches. Windows with
+A run's events come in order; ``fold`` keeps each run's state across batches. Windows with
 watermarks are extensions for event tables.
 """
 
@@ -109,7 +109,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         return spark.createDataFrame([], schema)
 
 
-# -- extensions: the reference has no time windows -----------------------------------------------------------------------
+# -- extensions: time windows ------------------------------------------------------------------------------------------
 
 
 def tumbling(events: DataFrame, ts: str, every: str, keys: list[str], late: str | None = None) -> DataFrame:

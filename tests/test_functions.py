@@ -67,6 +67,9 @@ def test_passages(spark):
         assert of(spark, body, passages.is_failure(X()), passages.error_category(X())) == (failed, category)
 
 
+    assert [of(spark, a, passages.bad_arguments(X()))[0] for a in ('{"a": 1}', '{"a": ', "[1]", None)] == [False, True, True, True]
+
+
 @pytest.mark.parametrize(("at", "want"), [(2000, (1510, 2510)), (10, (0, 1000)), (3970, (3000, 4000)), (None, (0, 1000))])
 def test_windows(spark, at, want):
     mark = "M" * 20

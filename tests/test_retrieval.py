@@ -140,6 +140,14 @@ def test_search(spark):
     assert r.chunk_text("beta#000") == "Text beta" and r.chunk_text("none") is None
 
 
+def test_serve(spark):
+    r, *_ = library(spark)
+    rows = [(1, "gamma", None, None), (2, "gamma", 5, "feats"), (3, "x", 5, None), (4, "gamma", 99, None), (5, "gamma", 5, "none")]
+    got = r.serve(spark.createDataFrame(rows, "query_id bigint, query string, k int, category string"), ["bestiary", "feats"]).orderBy("query_id", "rank").collect()
+    assert [(x.query_id, x.title) for x in got if x.query_id == 2] == [(2, "Gamma")] and len([x for x in got if x.query_id == 1]) == 3
+    assert [(x.query_id, x.error_category) for x in got if x.query_id > 2] == [(3, "rephrase"), (4, "rephrase"), (5, "rephrase")]
+
+
 def test_bad_requests(spark):
     r, *_ = library(spark)
     queries = spark.createDataFrame([(1, "x")], "query_id bigint, query string")
