@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +56,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def release() -> None:
+    """Give freed memory back: a worker idles with what it holds while other stages run beside it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on texts pass to Python in batches of about ``size``, unless the session says otherwise: a batch of 10,000
+    long texts may not fit a worker. Plans read the setting when they run, so it stays."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, size)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m"):
     """Plans that run inside pass texts to Python in batches of about ``size``."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, size)
+    before = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, size)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+        spark.conf.set(BATCH_KEY, before) if before is not None else spark.conf.unset(BATCH_KEY)

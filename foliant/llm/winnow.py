@@ -4,21 +4,26 @@ Words are lower-cased runs of ASCII letters, digits and any other-than-ASCII cha
 a document holds ``window`` of its words in a row (or all of them, if it has fewer). Of every ``window - K + 1`` runs of
 K words a document keeps the one with the least hash; the item keeps all that tie for it. So a shared span of ``window``
 words has a fingerprint in common, at the same place in both, and no span is missed. Each hit is extended: the windows
-of the item around it are compared with the document's words themselves, so nothing is reported on hashes alone.
+of the item around it are compared with the document's words themselves, so nothing is reported on hashes alone. Fingerprints are looked for first;
+only documents that have one of the benchmark's are read for the comparison, and no text is shuffled while they are few.
 
 Null and empty texts have no words. Items without words are ignored; items with equal windows all count. Repeated
 documents are each reported. Positions in a fingerprint are kept modulo 2^20 and all places of that remainder are
 compared, so the length of a text has no limit. The benchmark's fingerprints are broadcast only if at most
-``BROADCAST_ROWS``; else both sides are shuffled. Columns besides ids and texts are not read.
+``BROADCAST_ROWS``, and so are the documents' hits; else both sides are shuffled. Columns besides ids and texts are not read.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WINDOW, K = 10, 5
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, HIT_ROWS = 200_000, 15_000  # a row of hits holds its spans
 PLACE_BITS = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,19 +31,45 @@ APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """Words of a text as an array; null has none."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), APART), "")
+    return cut(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
+
+
+def cut(text: Column) -> Column:
+    return F.array_remove(F.split(text, APART), "")
+
+
+def alike(text: Column) -> Column:
+    """Words in full lower case, letter by letter (so without a form for the ends of words): equal wherever ``words`` are,
+    and quicker to make. What is found by them is compared by ``words``."""
+    return cut(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u03a3"), F.lit("\u03c3"))))
+
+
+def neighbours(df: DataFrame, col: str, n: int, join) -> DataFrame:
+    """``col`` with what ``join`` makes of each n elements in a row, by doubling; empty if there are fewer than n.
+
+    Overlaps don't matter for a minimum, nor for a hash of hashes. What comes is to be exploded with ``explode_outer``: the
+    other form puts a filter on the array's size, which is pushed below all these steps and repeats them many times over.
+    """
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        left = F.greatest(F.size(col) - step, F.lit(0))
+        df = df.withColumn(col, F.zip_with(F.slice(F.col(col), F.lit(1), left), F.slice(F.col(col), F.lit(step + 1), left), join))
+        done += step
+    return df
 
 
-def runs(of: str, n: int) -> Column:
-    """Hash of each run of n elements, its low bits replaced by the place."""
-    place = (1 << PLACE_BITS) - 1
-    one = lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.slice(F.col(of), i + 1, n)), PLACE_BITS), PLACE_BITS).bitwiseOR(i.bitwiseAND(F.lit(place)).cast("bigint"))
-    return F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(0), F.size(of) - n), one)).otherwise(F.array().cast("array<bigint>"))
+def runs(df: DataFrame, of: str, n: int, to: str) -> DataFrame:
+    """With ``to``: the hash of each run of n words, its low bits replaced by the place."""
+    place = F.lit((1 << PLACE_BITS) - 1)
+    tag = lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.bitwiseAND(place).cast("bigint"))
+    hashed = neighbours(df.withColumn(to, F.transform(of, lambda w: F.xxhash64(w))), to, n, lambda a, b: F.xxhash64(a, b))
+    return hashed.withColumn(to, F.transform(to, tag))
 
 
-def picked(of: str, n: int) -> Column:
+def picked(df: DataFrame, of: str, n: int) -> DataFrame:
     """The least of each n neighbours, each once."""
-    return F.when(F.size(of) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(of) - (n - 1)), lambda i: F.array_min(F.slice(F.col(of), i, n))))).otherwise(F.array().cast("array<bigint>"))
+    return neighbours(df, of, n, lambda a, b: F.least(a, b)).withColumn(of, F.array_distinct(of))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,45 +79,55 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Columns id, n_words, n_hit, n_items, items (sorted strings), contaminated for every row."""
-    neighbours = window - k + 1
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64("text"))
+    hits = small(hit_rows(base, benchmark, window, k, item_col, item_text))
+    out = base.select("id", "own", F.size(alike(F.col("text"))).cast("bigint").alias("n_words")).join(hits, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("own") == F.col("f_own")), "left")
+    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def hit_rows(base: DataFrame, benchmark: DataFrame, window: int, k: int, item_col: str, item_text: str) -> DataFrame:
+    """A written table of the hit rows of base (id, text, own: the text's hash): f_id, f_own, n_hit, items."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text)).alias("w")).filter((F.size("w") > 0) & F.col("item").isNotNull())
     windows = items.select("item", F.explode(F.when(F.size("w") <= window, F.array(F.col("w"))).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - (window - 1)), lambda i: F.slice(F.col("w"), i, window)))).alias("span"))
     # one row for each distinct window, with how far into it each of its fingerprints stands
-    spans = windows.groupBy("span").agg(F.sort_array(F.collect_set("item")).alias("of_items")).withColumn("h", F.when(F.size("span") == window, runs("span", k)).otherwise(F.array().cast("array<bigint>")))
-    cut = lambda x: F.shiftright(x, PLACE_BITS)
-    long = spans.filter(F.size("span") == window).select("span", F.explode(F.filter("h", lambda x: cut(x) == cut(F.array_min("h")))).alias("p"))
-    prints = long.select(cut(F.col("p")).alias("print"), F.col("p").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("into"), "span")
-    short = spans.filter(F.size("span") < window).select(F.size("span").alias("n"), F.xxhash64("span").alias("print"), "span")
+    spans = windows.groupBy("span").agg(F.sort_array(F.collect_set("item")).alias("of_items")).withColumn("like", alike(F.array_join("span", " ")))
+    bits = F.lit((1 << PLACE_BITS) - 1)
+    high = lambda x: F.shiftright(x, PLACE_BITS)
+    long = runs(spans.filter(F.size("span") == window), "like", k, "h").select("span", F.explode_outer(F.filter("h", lambda x: high(x) == high(F.array_min("h")))).alias("p"))
+    prints = small(long.select(high(F.col("p")).alias("print"), F.col("p").bitwiseAND(bits).cast("int").alias("into"), "span"))
+    short = spans.filter(F.size("span") < window).select(F.size("span").alias("n"), F.xxhash64("like").alias("print"), "span")
     short_sizes = sorted(r.n for r in short.select("n").distinct().collect())  # at most window - 1 numbers
 
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64("text"))
-    split = base.select("id", "own", words(F.col("text")).alias("w"))
-    cand = split.filter(F.size("w") >= window).select("id", "own", runs("w", k).alias("h")).select("id", "own", F.explode(picked("h", neighbours)).alias("p"))
-    cand = cand.select("id", "own", cut(F.col("p")).alias("print"), F.col("p").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place")).join(small(prints), "print").select("id", "own", (F.col("place") - F.col("into")).alias("start"), "span")
+    split = base.select("id", "own", alike(F.col("text")).alias("w"))
+    cand = picked(runs(split.filter(F.size("w") >= window), "w", k, "h").drop("w"), "h", window - k + 1).select("id", "own", F.explode_outer("h").alias("p"))
+    cand = cand.select("id", "own", high(F.col("p")).alias("print"), F.col("p").bitwiseAND(bits).cast("int").alias("place")).join(prints, "print").select("id", "own", (F.col("place") - F.col("into")).alias("start"), "span")
     for n in short_sizes:
-        at = split.filter(F.size("w") >= n).select("id", "own", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.xxhash64(F.slice(F.col("w"), i, n)))).alias("start", "print"))
-        at = at.withColumn("start", F.col("start").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+        at = split.filter(F.size("w") >= n).select("id", "own", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), partial(_hashed, n))).alias("start", "print"))
+        at = at.withColumn("start", F.col("start").bitwiseAND(bits).cast("int"))
         cand = cand.unionByName(at.join(small(short.filter(F.col("n") == n).select("print", "span")), "print").select("id", "own", "start", "span"))
-    found = cand.groupBy(F.col("id").alias("f_id"), F.col("own").alias("f_own")).agg(F.collect_set(F.struct("start", "span")).alias("cand"))
+    found = small(written(cand.groupBy(F.col("id").alias("f_id"), F.col("own").alias("f_own")).agg(F.collect_set(F.struct("start", "span")).alias("cand")), "hits"), HIT_ROWS)
 
     # the hits extended and compared word by word; a start beyond 2^20 is every place of its remainder
     step = 1 << PLACE_BITS
     places = lambda c: F.transform(F.sequence(F.lit(0), F.shiftright(F.size("w"), PLACE_BITS)), lambda j: F.struct((c["start"] + j * step).alias("start"), c["span"].alias("span")))
     real = lambda c: (c["start"] >= 0) & (c["start"] + F.size(c["span"]) <= F.size("w")) & (F.slice(F.col("w"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["span"])) == c["span"])
-    joined = base.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("own") == F.col("f_own")), "left").select("id", "own", words(F.col("text")).alias("w"), "cand")
-    hits = joined.select("id", "own", F.size("w").cast("bigint").alias("n_words"), F.when(F.col("cand").isNotNull(), F.filter(F.flatten(F.transform("cand", places)), real)).alias("hits"))
+    met = base.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("own") == F.col("f_own"))).select("id", "own", words(F.col("text")).alias("w"), "cand").distinct()
+    hits = met.select("id", "own", F.array_distinct(F.filter(F.flatten(F.transform("cand", places)), real)).alias("hits")).filter(F.size("hits") > 0)
     ends = F.array_sort(F.transform("hits", lambda c: F.struct(c["start"].alias("a"), (c["start"] + F.size(c["span"])).alias("b"))))
     covered = F.aggregate(ends, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda acc, c: F.struct((acc["n"] + F.greatest(F.lit(0), c["b"] - F.greatest(c["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], c["b"]).alias("end")), lambda acc: acc["n"])
-    hits = hits.select("id", "own", "n_words", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_hit"), F.array_distinct(F.transform(F.coalesce("hits", F.array().cast("array<struct<start:int,span:array<string>>>")), lambda c: c["span"])).alias("spans"))
     # items by way of the windows: one row for each document and window it holds
-    by_span = hits.filter(F.size("spans") > 0).select("id", "own", F.explode(F.array_distinct("spans")).alias("span")).distinct().join(small(spans.select("span", "of_items")), "span")
-    by_doc = by_span.select(F.col("id").alias("f_id"), F.col("own").alias("f_own"), F.explode("of_items").alias("item")).groupBy("f_id", "f_own").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = hits.join(by_doc, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("own") == F.col("f_own")), "left").select(F.col("id").alias(id_col), "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    by_span = hits.select("id", "own", covered.alias("n_hit"), F.explode(F.array_distinct(F.transform("hits", lambda c: c["span"]))).alias("span")).join(small(spans.select("span", "of_items")), "span")
+    by_item = by_span.select(F.col("id").alias("f_id"), F.col("own").alias("f_own"), "n_hit", F.explode("of_items").alias("item"))
+    return written(by_item.groupBy("f_id", "f_own", "n_hit").agg(F.sort_array(F.collect_set("item")).alias("items")), "contaminated")
+
+
+def _hashed(n: int, i: Column) -> Column:
+    return F.xxhash64(F.slice(F.col("w"), i, n))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """All columns of the rows that hold nothing of the benchmark."""
-    found = contamination(docs.select(F.struct(F.col(id_col), F.xxhash64(F.col(text_col)).alias("own")).alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", **options)
-    dirty = found.filter("contaminated").select(F.col("key")[id_col].alias("__id"), F.col("key")["own"].alias("__own")).distinct()
-    return docs.join(dirty, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__own")), "left_anti")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
+    dirty = small(hit_rows(base, benchmark, window, k, item_col, item_text).select(F.col("f_id").alias("__f_id"), F.col("f_own").alias("__f_own")))
+    return docs.join(dirty, docs[id_col].eqNullSafe(F.col("__f_id")) & (F.xxhash64(docs[text_col]) == F.col("__f_own")), "left_anti")
