@@ -12,7 +12,7 @@ blank lines at their ends. A hot line of a hot conversation is split by blocks o
 inside each block, and the blocks pass on only their latest turn.
 
 Null texts have no lines and stay null; rows with a null conversation or turn are returned and never linked; repeated
-rows are each returned, with the same parent. Empty quotes (``>`` alone) have a level and no source. Extra columns are
+rows are each returned, with the same parent. Empty quotes (``>`` alone) are not counted. Extra columns are
 not read. A conversation's messages with one turn number count as one original.
 """
 
