@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import phrases, terms
-from .common import bounded, ranked, size_of, written
+from .common import bounded, ranked, written
 
 K1, B = 1.2, 0.75
 #: What an inverse document frequency is at least.
@@ -42,8 +42,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 ANY = ""
 
 
-def post(docs: DataFrame, wanted: DataFrame | None = None, places: bool = True) -> DataFrame:
-    """Postings; with ``wanted`` (column term) only of those terms. One shuffle, of a row for each term and passage.
+def post(docs: DataFrame, wanted: DataFrame | None = None, places: bool = True, n_wanted: int = 0) -> DataFrame:
+    """Postings; with ``wanted`` (column term, at most ``n_wanted`` rows) only of those terms. One shuffle, of a row for each term and passage.
 
     A word's place counts from 0 in the title and from -1 downwards in the text, so one number tells both.
     """
@@ -53,8 +53,7 @@ def post(docs: DataFrame, wanted: DataFrame | None = None, places: bool = True)
         numbered = F.concat(numbered, F.array(F.struct(F.lit(ANY).alias("term"), F.lit(None).cast("int").alias("at"))))
     words = docs.select("id", "category", "length", F.explode(numbered).alias("w")).select("id", "category", "length", "w.term", "w.at")
     if wanted is not None:
-        wanted = wanted.select("term").distinct()
-        words = words.join(bounded(wanted, size_of(wanted)), "term", "left_semi")
+        words = words.join(bounded(wanted.select("term").distinct(), n_wanted), "term", "left_semi")
     counts = [F.count_if(F.col("at") >= 0).cast("int").alias("n_title"), F.count_if(F.col("at") < 0).cast("int").alias("n_text")]
     return words.groupBy("term", "id", "category", "length").agg(*counts, *([F.sort_array(F.collect_list("at")).alias("at")] if places else []))
 
@@ -89,10 +88,11 @@ class LexicalIndex:
     def search(self, queries: DataFrame, k: int | None = 10, category: str | None = None, title_weight: float = TITLE_WEIGHT, text_weight: float = TEXT_WEIGHT) -> DataFrame:
         """Columns query_id, id, score, rank for queries (query_id, query)."""
         asked = query_terms(queries, self.hyphen)
-        n_asked, wanted = size_of(asked), asked.select("term").distinct()
+        n_asked, places = extent(asked)
+        wanted = asked.select("term").distinct()
         found = self.postings.join(bounded(wanted, n_asked), "term", "left_semi")
         frequencies = self.terms.join(bounded(wanted, n_asked), "term", "left_semi")
-        return _scored(found, asked, n_asked, frequencies, self.stats, k, category, title_weight, text_weight)
+        return _scored(found, asked, n_asked, frequencies, self.stats, k, category, title_weight, text_weight, places)
 
 
 def query_terms(queries: DataFrame, hyphen: bool = False) -> DataFrame:
@@ -102,6 +102,12 @@ def query_terms(queries: DataFrame, hyphen: bool = False) -> DataFrame:
     return each.select("query_id", "phrase", "n_phrases", F.size("ts").alias("n_terms"), F.posexplode("ts").alias("offset", "term"))
 
 
+def extent(asked: DataFrame) -> tuple[int, bool]:
+    """Rows of the queries' terms, and whether any phrase has several terms."""
+    row = asked.agg(F.count("*").alias("n"), F.max("n_terms").alias("most")).first()
+    return row.n, (row.most or 0) > 1
+
+
 def search_frame(df: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int | None = 10, title: Column | None = None, category_col: Column | None = None, category: str | None = None, hyphen: bool = False, title_weight: float = TITLE_WEIGHT, text_weight: float = TEXT_WEIGHT) -> DataFrame:
     """Search passages that have no index; columns query_id, id, score, rank.
 
@@ -110,21 +116,20 @@ def search_frame(df: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     """
     docs = tokenised(df, id_col, text_col, title, category_col, hyphen)
     asked = query_terms(queries, hyphen)
-    places = not asked.filter("n_terms > 1").isEmpty()
-    own = written(post(docs, asked.select("term").union(df.sparkSession.createDataFrame([(ANY,)], "term string")), places), "postings")
+    n_asked, places = extent(asked)
+    wanted = asked.select("term").union(df.sparkSession.range(1).select(F.lit(ANY)))
+    own = written(post(docs, wanted, places, n_asked + 1), "postings")
     postings, stats = own.filter(F.col("term") != ANY), statistics(own.filter(F.col("term") == ANY))
-    return _scored(postings, asked, size_of(asked), postings.groupBy("term").agg(F.count("*").alias("df")), stats, k, category, title_weight, text_weight, places)
+    return _scored(postings, asked, n_asked, postings.groupBy("term").agg(F.count("*").alias("df")), stats, k, category, title_weight, text_weight, places)
 
 
-def _scored(postings: DataFrame, asked: DataFrame, n_asked: int, frequencies: DataFrame, stats: DataFrame, k: int | None, category: str | None, title_weight: float, text_weight: float, places: bool = True) -> DataFrame:
+def _scored(postings: DataFrame, asked: DataFrame, n_asked: int, frequencies: DataFrame, stats: DataFrame, k: int | None, category: str | None, title_weight: float, text_weight: float, places: bool) -> DataFrame:
     """Rank the passages that hold all phrases of a query. ``frequencies`` have at most a row for each term asked."""
     keys = ["query_id", "phrase", "n_phrases", "id", "category", "length"]
     one = asked.filter("n_terms = 1").join(bounded(frequencies, n_asked), "term")
     found = postings.join(bounded(one, n_asked), "term").select(*keys, "n_title", "n_text", "df")
     if places:
-        many = asked.filter("n_terms > 1")
-        if not many.isEmpty():
-            found = found.unionByName(_phrases(postings, many, n_asked, keys))
+        found = found.unionByName(_phrases(postings, asked.filter("n_terms > 1"), n_asked, keys))
     n, mean = F.col("n"), F.col("mean_length")
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
