@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, width, written
+from .shared import release, small_batches, width, written
 
 CHUNK_BYTES = 8 << 20
 LEVEL = 9
@@ -120,6 +120,8 @@ def chunks(df: DataFrame, text: str, make: Callable[[pa.Table], tuple[bytes, dic
             payload, keys = make(table)
             chunk, order = f"{part}-{k}", sorted(keys)
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * (1 + len(order))), pa.array([-1, *order], pa.int32()), pa.array([payload] + [None] * len(order), pa.binary()), pa.array([None, *(keys[b] for b in order)], pa.binary())], schema=schema)
+            del payload, keys
+            release()
 
     with small_batches(df.sparkSession):
         return written(df.mapInArrow(run, TABLE), name)

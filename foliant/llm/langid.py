@@ -17,19 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LETTER, crc_mod, crc_mod_col
+from .shared import LETTER, bounded_batches, crc_mod, crc_mod_col, release
 
 DIM_BITS, GRAMS = 14, 4
 DIM = 1 << DIM_BITS
 PER_LANG, FIT_ROWS, LANDMARKS, RIDGE = 300, 3000, 256, 1e-3
+PIECE, ROWS = 1 << 16, 64  # characters and texts at a time, which bound a worker's memory
 STEP, MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def presence(text: str, out: np.ndarray) -> None:
     """Set the places of the text's n-grams in ``out`` (DIM bytes)."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    for start in range(0, len(c), 1 << 20):  # a very long text in pieces that overlap
-        x = c[start : start + (1 << 20) + GRAMS - 1].astype(np.uint64)
+    for start in range(0, len(c), PIECE):  # a very long text in pieces that overlap
+        x = c[start : start + PIECE + GRAMS - 1].astype(np.uint64)
         h = np.zeros(len(x), np.uint64)
         for n in range(GRAMS):
             if len(x) <= n:
@@ -45,8 +46,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         own = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
-        for start in range(0, len(own), 256):
-            part = own[start : start + 256]
+        for start in range(0, len(own), ROWS):
+            part = own[start : start + ROWS]
             p = np.zeros((len(part), DIM), np.uint8)
             for row, i in zip(p, part, strict=True):
                 presence(texts[i], row)
@@ -61,6 +62,7 @@ class Model:
 
 def fit(df: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = PER_LANG, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with a language whose crc32 of the id modulo ``modulus`` is not ``held``."""
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & (crc_mod_col("id", modulus) != held))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = rows.select("id", "lang").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_lang).orderBy("n", "lang", "id").limit(fit_rows)
@@ -81,25 +83,30 @@ def fit(df: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = PER_LANG
     langs = sorted({x for x, _ in got})
     if not langs:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
-    p = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in got]).astype(np.float64)
     y = np.array([[float(x == lang) for lang in langs] for x, _ in got])
     rng = np.random.default_rng(7)
-    at = rng.permutation(len(p))[:LANDMARKS]
-    unit = p / np.sqrt(p.sum(1, keepdims=True))
-    marks = unit[at]
+    at = rng.permutation(len(got))[:LANDMARKS]
+    marks = unit_rows([got[i][1] for i in at])
     values, vectors = np.linalg.eigh(marks @ marks.T)
     ok = values > 1e-8 * values.max()
     white = vectors[:, ok] / np.sqrt(values[ok])
-    phi = unit @ marks.T @ white
+    phi = np.concatenate([unit_rows([b for _, b in got[i : i + ROWS]]) @ marks.T for i in range(0, len(got), ROWS)]) @ white
     mean = y.mean(0)
     centre = phi.mean(0)
     phi0 = phi - centre
-    a = np.linalg.solve(phi0.T @ phi0 + RIDGE * len(p) * np.eye(phi.shape[1]), phi0.T @ (y - mean))
+    a = np.linalg.solve(phi0.T @ phi0 + RIDGE * len(got) * np.eye(phi.shape[1]), phi0.T @ (y - mean))
     return Model(langs, (marks.T @ white @ a).astype(np.float32), (mean - centre @ a).astype(np.float32))
 
 
+def unit_rows(packed: list[bytes]) -> np.ndarray:
+    """Presence bits of some texts as rows of length 1."""
+    p = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in packed]).astype(np.float64)
+    return p / np.sqrt(p.sum(1, keepdims=True))
+
+
 def predict_languages(df: DataFrame, model: Model, modulus: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, held_out, lang_pred, score for every row."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # DIM floats a language, at most FIT_ROWS languages
 
@@ -113,6 +120,7 @@ def predict_languages(df: DataFrame, model: Model, modulus: int = 4, held: int =
 
 def keep_identified(df: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """All columns of the rows whose language is known with at least ``min_score``."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
@@ -120,5 +128,6 @@ def keep_identified(df: DataFrame, model: Model, min_score: float = 0.3, text_co
         for b in batches:
             got = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= min_score for x, s in got], pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)

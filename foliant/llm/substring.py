@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ask, buckets_of, chunks, home, planes, squeeze, tabled, unplanes, unsqueeze, untabled
-from .shared import small_batches, width, words_of
+from .shared import release, small_batches, width, words_of
 
 SIZE, ANCHOR = 35, 20
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
 SHARDS = 64
-STEP_WORDS = 400_000
+STEP_WORDS, HELD = 400_000, 1_000_000  # words and sketched windows at a time, which bound a worker's memory
 MULT_A, MULT_B, MULT_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -132,11 +132,12 @@ def sketch(texts: DataFrame, n_chars: int, size: int, anchor: int) -> tuple[list
                 times = np.searchsorted(runs, anchors, "right") - np.searchsorted(runs, anchors, "left")
                 held.append(np.stack([anchors, np.minimum(times, 2).astype(np.uint64)], 1))
                 n += len(anchors)
-                if n >= 4_000_000:
+                if n >= HELD:
                     yield from flush()
                     held, n = [], 0
         if held:
             yield from flush()
+        release()
 
     def merge(batches):
         """Sum of the parts' sketches, a shard at a time in saturating counters."""
