@@ -218,13 +218,23 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     both = pairs.join(texts.select(F.col("node"), F.col("words").alias("b")), "node").join(texts.select(F.col("node").alias("root"), F.col("words").alias("a")), "root").select("root", "node", "a", "b")
     edges = written(both.mapInArrow(verify, "root binary, node binary"), "edges")
-    labels = components(edges)
+    labels = components(written(thinned(edges), "thinned"))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("class_id"))
     classes = named.join(least, "label").select("node", "class_id")
     return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each node keeps its least root, and its other roots are tied to that one.
+
+    Nodes of a group share their roots, so what is left grows with the nodes and not with their buckets.
+    """
+    best = edges.groupBy("node").agg(F.min("root").alias("least"))
+    ties = edges.join(best, "node").filter("least < root").select(F.col("least").alias("root"), F.col("root").alias("node"))
+    return best.select(F.col("least").alias("root"), "node").union(ties).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Columns node and label: the least node of each connected component, by label passing with pointer jumps.
 
