@@ -7,15 +7,20 @@ two texts at a shingle similarity of 0.8 miss all with a chance of 1e-9, at one
 with one of 3 in 100, and classes are held together by more than one pair.
 
 Texts with equal words are one node. In each bucket of a sketch, and in the finer buckets of that sketch with the two
-after it, each node is compared with the bucket's first and last node: edges grow with the nodes, not with their pairs,
-and in a crowded bucket the finer ones bring like texts together. An edge holds if the words of both align within a band of
-``1 - THRESHOLD`` of the longer; classes are the connected components of the edges. Nothing of the documents comes to
-the driver. Rows with no words are classes of their own; a class's id is the least id in it. Rows with a null id belong
+after it, each node is first compared with the bucket's first and last node, and the classes of these edges are found.
+What a bucket leaves undecided, pairs of nodes in different classes, is decided in rounds: the node with most edges is
+compared with those of other classes and leaves the bucket, as long as that shrinks what is left by a quarter; then all
+pairs that are left are compared. So each pair that shares a bucket is compared or in one class already. Only pairs whose
+lengths or word profiles exclude an edge (lower bounds of the distance) are not aligned. An edge holds if the words of
+both align within a band of ``1 - THRESHOLD`` of the longer; classes are the connected components of the edges. Nothing
+of the documents comes to the driver. Rows with no words are classes of their own; a class's id is the least id in it. Rows with a null id belong
 to the class of their text. Repeated rows share a class. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +31,7 @@ from .shared import bounded_batches, release, words_of, written
 
 K, KEEP, SKETCHES, THRESHOLD = 5, 2, 20, 0.8
 LEVELS = (1, 3)
+BINS = 256  # of a word profile
 PIECE = 1 << 14  # k-mers at a time, which bounds a worker's memory
 STEP, MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
@@ -158,6 +164,47 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return distance(a.tolist(), b.tolist(), most) is not None
 
 
+def profile(words: np.ndarray) -> bytes:
+    """How many words fall in each bin of their hash, up to 255."""
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def near_profiles(a: list[bytes], b: list[bytes], size_a: list[int], size_b: list[int], threshold: float = THRESHOLD) -> np.ndarray:
+    """Whether sizes (bytes of the words, four each) and profiles leave an edge possible: each edit takes at most
+    one word out of a bin and puts one in."""
+    x, y = (np.frombuffer(b"".join(p), np.uint8).reshape(-1, BINS).astype(np.int16) for p in (a, b))
+    n, m = np.array(size_a, np.int64) // 4, np.array(size_b, np.int64) // 4
+    most = ((1 - threshold) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    more, less = (np.maximum(d, 0).sum(1, dtype=np.int64) for d in (x - y, y - x))
+    return (np.abs(n - m) <= most) & (more <= most) & (less <= most)
+
+
+def size_class(size: str, threshold: float):
+    """Texts whose lengths allow an edge are in one class or in two that follow one another."""
+    if threshold < 0.1:
+        return F.lit(0)
+    return F.floor(F.log(size) / -math.log(threshold - 0.01)).cast("int")
+
+
+def ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("root"), F.greatest(a, b).alias("node")]
+
+
+def star_pairs(rest: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of each bucket's node of most edges with those of other classes, and the rows without these nodes."""
+    stars = rest.join(degrees, "node", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "label", "size")).alias("s"))
+    both = written(rest.join(stars, "band").select("band", "node", "label", "size", F.col("s.node").alias("star"), F.col("s.label").alias("of"), F.col("s.size").alias("about")), "stars")
+    pairs = both.filter((F.col("label") != F.col("of")) & (F.abs(F.col("size") - F.col("about")) <= 1)).select(*ordered("star", "node")).distinct()
+    return pairs, both.filter("node != star").select("band", "node", "size")
+
+
+def all_pairs(rest: DataFrame) -> DataFrame:
+    """All pairs of a bucket's nodes in different classes whose lengths allow an edge."""
+    a = rest.select("band", "size", F.col("node").alias("root"), F.col("label").alias("of"))
+    b = rest.select("band", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "node", "label")
+    return a.join(b, ["band", "size"]).filter((F.col("root") < F.col("node")) & (F.col("of") != F.col("label"))).select("root", "node").distinct()
+
+
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id and class_id (the least id of the class) for every row."""
     bounded_batches(df.sparkSession)
@@ -167,22 +214,23 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     def sign(batches):
         hashes = Words()
         for b in batches:
-            keys, keep = [], []
+            keys, keep, sizes = [], [], []
             for t in b.column(1).to_pylist():
                 own = lowered(t)
+                sizes.append(len(own))
                 if not own:
                     keys.append(None)
                     keep.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(b" ".join(own)))
                 keep.append(bands(sketches(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(keep, pa.list_(pa.int64()))], names=["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(keep, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "node", "bands", "size"])
         release()
 
-    signed = written(docs.mapInArrow(sign, f"id {kind}, node binary, bands array<bigint>"), "sketches")
+    signed = written(docs.mapInArrow(sign, f"id {kind}, node binary, bands array<bigint>, size bigint"), "sketches")
     rows = signed.select("id", "node")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    banded = signed.filter("node is not null").select("node", F.explode("bands").alias("band"))
+    banded = signed.filter("node is not null").select("node", "size", F.explode("bands").alias("band"))
     # equal texts have equal bands: both sides are one row for each text and band
     ends = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     both = F.explode(F.array(F.struct(F.col("first").alias("root"), "node"), F.struct(F.col("node").alias("root"), F.col("last").alias("node"))))
@@ -199,26 +247,63 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         """Word hashes of the rows whose text is the node's: a null or repeated id may bring others."""
         hashes = Words()
         for b in batches:
-            keys, found = [], []
+            keys, found, profiles = [], [], []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = lowered(text)
                 if xxhash.xxh3_128_digest(b" ".join(own)) == node:
                     keys.append(node)
-                    found.append(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["node", "words"])
+                    words = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)).astype(np.uint32)
+                    found.append(words.tobytes())
+                    profiles.append(profile(words))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary()), pa.array(profiles, pa.binary())], names=["node", "words", "profile"])
         release()
 
-    texts = texts.select("node", "text").mapInArrow(encode, "node binary, words binary").dropDuplicates(["node"])
+    texts = texts.select("node", "text").mapInArrow(encode, "node binary, words binary, profile binary").dropDuplicates(["node"])
     texts = written(texts, "words")
 
+    def possible(batches):
+        for b in batches:
+            ok = near_profiles(*(b.column(i).to_pylist() for i in range(2, 6)), threshold)
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
     def verify(batches):
         for b in batches:
             ok = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node"), F.col("words").alias("b")), "node").join(texts.select(F.col("node").alias("root"), F.col("words").alias("a")), "root").select("root", "node", "a", "b")
-    edges = written(both.mapInArrow(verify, "root binary, node binary"), "edges")
+    def with_both(pairs, *columns):
+        sides = [texts.select(F.col("node").alias(end), *[F.expr(c).alias(f"{c.split('(')[0]}_{end}") for c in columns]) for end in ("node", "root")]
+        return pairs.join(sides[0], "node").join(sides[1], "root").select("root", "node", *[f"{c.split('(')[0]}_{end}" for c in columns for end in ("root", "node")])
+
+    def compared(pairs):
+        likely = written(with_both(pairs, "profile", "length(words)").mapInArrow(possible, "root binary, node binary"), "likely")
+        return written(with_both(likely, "words").mapInArrow(verify, "root binary, node binary"), "edges")
+
+    seen, edges = pairs, compared(pairs)
     labels = components(written(thinned(edges), "thinned"))
+    inner = (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))
+    rest = banded.join(ends, "band").filter(inner).select("band", "node", size_class("size", threshold).alias("size")).distinct()
+    before, done = math.inf, False
+    while not done:
+        rest = written(rest.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "rest")
+        alike = rest.groupBy("band", "label").agg(F.count("*").cast("double").alias("n"))
+        open_bands = written(alike.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).select("band", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("open")).filter("open > 0"), "open")
+        left = open_bands.agg(F.sum("open").alias("open"), F.sum("n").alias("n")).first()
+        if not left.open:
+            break
+        rest = rest.join(open_bands.select("band"), "band")
+        done = left.open <= 4 * left.n or left.open > 0.75 * before
+        before = left.open
+        if done:
+            new = all_pairs(rest)
+        else:
+            degrees = edges.select(F.explode(F.array("root", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+            new, rest = star_pairs(rest, degrees)
+        new = written(new.join(seen, ["root", "node"], "left_anti"), "candidates")
+        found = compared(new)
+        seen, edges = seen.union(new), edges.union(found)
+        if not found.isEmpty():
+            labels = components(written(thinned(edges), "thinned"))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("class_id"))
     classes = named.join(least, "label").select("node", "class_id")
