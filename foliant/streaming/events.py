@@ -26,8 +26,8 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def read_table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(path)
+def read_table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def write_log(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
