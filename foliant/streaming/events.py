@@ -6,6 +6,7 @@ watermarks are extensions for event tables.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..schemas import EVENT
 
 TERMINAL = ("run_finished", "run_failed")
+NO_SEQ = -(2**63)  # before all others
 STATE_DDL = "run string, n_events bigint, n_started bigint, n_finished bigint, n_open bigint, ended boolean, stopped_reason string"
 
 
@@ -49,30 +51,34 @@ def run_id(seed: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """The state of each run that a batch has events of: update mode, one row a run and batch.
 
-    A started tool is open until it finishes; the end of a run closes all that are open. Events of a batch are taken in
-    the order of ``seq``; ids of open calls are the only state, and go with the run's end.
+    A started tool is open until it finishes; the end of a run closes all that are open. ``seq`` decides what comes last,
+    whatever batch an event comes in: the state holds the last event of each call, open or not, since one that is earlier by
+    ``seq`` may still come. It goes with the run's end, of which the last reason and its ``seq`` stay.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, started, finished, ended, reason, calls = state.get if state.exists else (0, 0, 0, False, None, "")
-        opened = set(filter(None, calls.split("\x1f")))
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        for kind, call, stop in zip(rows["type"], rows["call_id"], rows["stopped_reason"], strict=True):
+        n, started, finished, ended, reason, reason_seq, calls = state.get if state.exists else (0, 0, 0, False, None, None, "[]")
+        last = {call: (seq, kind) for call, seq, kind in json.loads(calls)}
+        rows = pd.concat(list(frames))
+        for seq, kind, call, stop in zip(rows["seq"], rows["type"], rows["call_id"], rows["stopped_reason"], strict=True):
             n += 1
-            if kind == "tool_started":
-                started += 1
-                if not ended:
-                    opened.add(str(call))
-            elif kind == "tool_finished":
-                finished += 1
-                opened.discard(str(call))
-            elif kind in TERMINAL:
-                ended, opened = True, set()
-                reason = stop if isinstance(stop, str) else reason
-        state.update((n, started, finished, ended, reason, "\x1f".join(sorted(opened))))
-        yield pd.DataFrame({"run": [key[0]], "n_events": [n], "n_started": [started], "n_finished": [finished], "n_open": [len(opened)], "ended": [ended], "stopped_reason": [reason]})
-
-    state = "n bigint, started bigint, finished bigint, ended boolean, reason string, calls string"
+            seq = NO_SEQ if pd.isna(seq) else int(seq)
+            started += kind == "tool_started"
+            finished += kind == "tool_finished"
+            if kind in TERMINAL:
+                ended = True
+                if isinstance(stop, str) and (reason_seq is None or seq >= reason_seq):
+                    reason, reason_seq = stop, seq
+            elif kind in ("tool_started", "tool_finished") and not ended:
+                call = call if isinstance(call, str) else None
+                last[call] = max(last.get(call, (NO_SEQ, "")), (seq, kind))
+        if ended:
+            last = {}
+        state.update((n, started, finished, ended, reason, reason_seq, json.dumps([(call, *of) for call, of in last.items()])))
+        n_open = sum(kind == "tool_started" for _, kind in last.values())
+        yield pd.DataFrame({"run": [key[0]], "n_events": [n], "n_started": [started], "n_finished": [finished], "n_open": [n_open], "ended": [ended], "stopped_reason": [reason]})
+
+    state = "n bigint, started bigint, finished bigint, ended boolean, reason string, reason_seq bigint, calls string"
     return events.select("run", "seq", "type", "call_id", "stopped_reason").groupBy("run").applyInPandasWithState(step, STATE_DDL, state, "update", GroupStateTimeout.NoTimeout)
 
 
