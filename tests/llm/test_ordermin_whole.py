@@ -2,7 +2,7 @@
 
 import random
 
-from test_bruteforce import frame
+from test_bruteforce import classes_by_hand, frame
 
 from foliant.llm import ordermin
 
@@ -25,7 +25,7 @@ def test_star_group_and_shared_passage(spark):
         own += [passage + text, passage + altered(rng, text, 0.1)]
     own = [" ".join(t) for t in own]
     got = {r.doc_id: r.class_id for r in ordermin.near_duplicates(frame(spark, own)).collect()}
-    sketched = [set(ordermin.bands(ordermin.sketches(hashed(t))).tolist()) for t in own]
+    sketched = [set(ordermin.bucket_keys(hashed(t)).tolist()) for t in own]
     parent = list(range(len(own)))
 
     def root(i):
@@ -55,3 +55,35 @@ def test_profiles_exclude_no_edge():
         x, y = (ordermin.np.array(t, ordermin.np.uint32) for t in (a, b))
         possible = ordermin.near_profiles([ordermin.profile(x)], [ordermin.profile(y)], [4 * len(a)], [4 * len(b)])[0]
         assert possible or not ordermin.similar(x, y)
+
+
+def test_short_texts_miss_no_edge(spark):
+    rng = random.Random(23)
+    own = []
+    for n in range(3, 15):
+        for _ in range(4):
+            base = [f"a{rng.randrange(10**9)}" for _ in range(n)]
+            other = list(base)
+            for _ in range(max(1, n // 5)):
+                at = rng.randrange(len(other))
+                match rng.randrange(3):
+                    case 0:
+                        other[at] = "changed"
+                    case 1:
+                        del other[at]
+                    case _:
+                        other.insert(at, "more")
+            own += [" ".join(base), " ".join(other)]
+    own = [t for t in own if len(t.split()) <= ordermin.FEW]
+    got = {r.doc_id: r.class_id for r in ordermin.near_duplicates(frame(spark, own)).collect()}
+    assert [got[i] for i in range(len(own))] == classes_by_hand(own)
+
+
+def test_recall_at_the_least_similarity():
+    rng = random.Random(24)
+    missed = 0
+    for _ in range(200):
+        one = [f"b{rng.randrange(10**9)}" for _ in range(200)]
+        a, b = (set(ordermin.bucket_keys(hashed(" ".join(t))).tolist()) for t in (one, altered(rng, one, 0.2)))
+        missed += not a & b
+    assert missed < 25
