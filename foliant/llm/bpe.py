@@ -4,7 +4,8 @@ Texts are cut into units whose split by the pattern does not depend on what stan
 space characters meet, a unit is a run of other characters with the one space or line end before it; other texts are
 cut by the pattern itself. Each distinct unit of the corpus is encoded once (``exchange``), its ids join back by
 position, and decoding takes the bytes of each id from the token table. Null and empty texts have no ids. A repeated
-row is encoded like any other; columns besides the id and the text are not read.
+row is encoded like any other; columns besides the id and the text are not read. A text longer than a chunk is a chunk of its
+own: a worker holds one text at a time and the numbers of its units.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ask, buckets_of, chunks, home, pack_ranked, pack_strings, planes, squeeze, tabled, unpack_ranked, unpack_strings, unplanes, unsqueeze, untabled
+from .exchange import ask_each, buckets_for, chunks, home, pack_ranked, pack_sizes, pack_strings, planes, squeeze, tabled, text_bytes, unpack_ranked, unpack_sizes, unpack_strings, unplanes, unsqueeze, untabled
 
 #: White space as the pattern's engine has it (the Unicode property), which is not Python's.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Larger than other exchanges': a chunk's distinct units grow less than its text.
 CHUNK_BYTES = 32 << 20
+#: Keys and answers are small and shuffled: they are packed more tightly than payloads.
+TIGHT = 19
+#: Encoded units that a task keeps for its next entries.
+KEPT = 200_000
 UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 
 
@@ -62,19 +67,25 @@ class Numbers(dict):
         return n
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
+def id_type(n_vocab: int) -> np.dtype:
+    return np.dtype(np.uint16 if n_vocab <= 1 << 16 else np.uint32)
+
+
+def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Token ids of every whole text, and the text decoded from them again.
 
     With ``digest`` the columns are id, n_tokens, ids_sha256 and decoded_sha256; without, id, ids (array<int>) and
-    decoded (binary).
+    decoded (binary). Smaller chunks take less memory and send more keys.
     """
-    n_buckets = buckets_of(df)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    n_buckets = buckets_for(text_bytes(docs, "text"))
 
     def make(table: pa.Table):
         numbers, rows, sizes = Numbers(), [], []
         take = numbers.__getitem__
-        for text in table.column("text").to_pylist():
-            own = units(text, pattern)
+        for value in table.column("text"):
+            own = units(value.as_py(), pattern)
             sizes.append(len(own))
             rows.append(np.fromiter(map(take, own), np.uint32, len(own)))
         flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
@@ -90,19 +101,24 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
         for k, b in zip(keys, to.tolist(), strict=True):
             by[b].append(k)
         payload = squeeze(tabled(table.select(["id"])), np.array(sizes, np.uint32).tobytes(), planes(to), *pack_ranked(flat))
-        return payload, {b: squeeze(*pack_strings(ks)) for b, ks in by.items()}
+        return payload, {b: squeeze(*pack_strings(ks), level=TIGHT) for b, ks in by.items()}
 
-    def resolve(_, blobs):
-        enc, done, out = encoder(path, pattern), {}, []
-        for blob in blobs:
+    def resolver():
+        enc, done = encoder(path, pattern), {}
+        kind = id_type(enc.n_vocab)
+
+        def resolve(blob):
+            if len(done) > KEPT:
+                done.clear()
             own = []
             for k in unpack_strings(*unsqueeze(blob)):
                 got = done.get(k)
                 if got is None:
-                    got = done[k] = np.array(enc.encode_ordinary(unit_text(k.decode("utf-8", "surrogatepass"))), np.uint32).tobytes()
+                    got = done[k] = np.array(enc.encode_ordinary(unit_text(k.decode("utf-8", "surrogatepass"))), kind).tobytes()
                 own.append(got)
-            out.append(squeeze(np.fromiter(map(len, own), np.uint32, len(own)).tobytes(), planes(np.frombuffer(b"".join(own), np.uint32))))
-        return out
+            return squeeze(*pack_sizes([len(x) // kind.itemsize for x in own]), planes(np.frombuffer(b"".join(own), kind)), level=TIGHT)
+
+        return resolve
 
     def finish(payload, answers):
         ids, sizes, to, *flat = unsqueeze(payload)
@@ -111,8 +127,8 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
         as_text, as_bytes, counts, tokens = [""] * len(to), [b""] * len(to), np.zeros(len(to), np.int64), [None] * len(to)
         names, spelled = token_table(path, pattern)
         for b, blob in answers.items():
-            lengths, found = unsqueeze(blob)
-            at, lengths, found = np.flatnonzero(to == b), np.frombuffer(lengths, np.uint32) // 4, unplanes(found, np.uint32).tolist()
+            low, high, found = unsqueeze(blob)
+            at, lengths, found = np.flatnonzero(to == b), unpack_sizes(low, high), unplanes(found, id_type(len(names))).tolist()
             counts[at], start = lengths, 0
             for i, n in zip(at.tolist(), lengths.tolist(), strict=True):
                 own = found[start : start + n]
@@ -139,11 +155,9 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             return pa.table({id_col: rows.column("id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
         return pa.table({id_col: rows.column("id"), "ids": pa.array(a, pa.list_(pa.int32())), "decoded": pa.array(b, pa.binary())})
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    table = chunks(docs, "text", make, "bpe", CHUNK_BYTES)
+    table = chunks(docs, "text", make, "bpe", chunk_bytes)
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else f"`{id_col}` {kind}, ids array<int>, decoded binary"
-    return home(table, ask(table, resolve), finish, schema)
+    return home(table, ask_each(table, n_buckets, resolver), finish, schema)
 
 
 @lru_cache(maxsize=4)

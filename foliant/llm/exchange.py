@@ -3,8 +3,10 @@
 Documents are packed into chunks of bounded text. A chunk sends each of its distinct keys once, to the key's hash
 bucket; a bucket answers every distinct key once for all chunks; the answers go home to the chunk. So what is shuffled
 is one entry for each key and chunk, never one for each occurrence, and a key that fills a third of the corpus is one
-entry for each chunk like any other. The chunks are a written table in the shared folder: both uses of them see the same
-rows whatever executors are lost.
+entry for each chunk like any other. The number of buckets follows the bytes of the texts (``BUCKET_BYTES`` of text each), so
+what meets in one bucket is bounded up to ``MOST_BUCKETS``; where a key's answer needs that key alone, ``ask_each`` takes a
+bucket's entries one at a time, whatever its size. The chunks are a written table in the shared folder: both uses of them
+see the same rows whatever executors are lost.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, small_batches, width, written
+from .shared import release, slices, small_batches, written
 
 CHUNK_BYTES = 8 << 20
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 12, 1 << 14
 LEVEL = 9
 TABLE = "chunk string, bucket int, payload binary, keys binary"
 ANSWERS = "chunk string, bucket int, answer binary"
 
 
-def squeeze(*parts: bytes) -> bytes:
+def squeeze(*parts: bytes, level: int = LEVEL) -> bytes:
     head = struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts))
-    return zstandard.ZstdCompressor(LEVEL).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level).compress(head + b"".join(parts))
 
 
 def unsqueeze(blob: bytes) -> list[memoryview]:
@@ -72,22 +75,37 @@ def unpack_ranked(one, low, over) -> np.ndarray:
     return out
 
 
-def pack_strings(words: list[bytes]) -> tuple[bytes, bytes]:
-    return np.fromiter(map(len, words), np.uint32, len(words)).tobytes(), b"".join(words)
+def pack_sizes(sizes: list[int]) -> tuple[bytes, bytes]:
+    """Two parts: a byte for each size, and those from 255 on."""
+    x = np.asarray(sizes, np.uint64)
+    return np.minimum(x, 255).astype(np.uint8).tobytes(), x[x >= 255].tobytes()
 
 
-def unpack_strings(sizes, joined) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64).tolist()
+def unpack_sizes(low, high) -> np.ndarray:
+    out = np.frombuffer(low, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(high, np.uint64).astype(np.int64)
+    return out
+
+
+def pack_strings(words: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    return *pack_sizes([len(w) for w in words]), b"".join(words)
+
+
+def unpack_strings(low, high, joined) -> list[bytes]:
     raw, out, at = bytes(joined), [], 0
-    for e in ends:
+    for e in np.cumsum(unpack_sizes(low, high)).tolist():
         out.append(raw[at:e])
         at = e
     return out
 
 
-def buckets_of(df: DataFrame) -> int:
-    """Buckets in proportion to the shuffle's width, so that one holds a bounded share of the keys."""
-    return max(12, width(df.sparkSession) // 4)
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of all texts: one narrow pass over one column."""
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def buckets_for(n_bytes: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES))
 
 
 def by_chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
@@ -133,16 +151,34 @@ def ask(table: DataFrame, resolve: Callable[[int, list[bytes]], list[bytes]]) ->
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         answers = resolve(bucket, group.column("keys").to_pylist())
+        release()
         return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "answer": pa.array(answers, pa.binary())})
 
     return table.filter(F.col("bucket") >= 0).select("chunk", "bucket", "keys").groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
+def ask_each(table: DataFrame, n_buckets: int, resolver: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """Like ``ask`` where a key's answer needs that key alone: ``resolver`` gives a task's function of one entry."""
+    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("answer", pa.binary())])
+
+    def run(batches):
+        resolve = resolver()
+        for b in slices(batches, 2, CHUNK_BYTES):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(resolve, b.column(2).to_pylist()), pa.binary())], schema=schema)
+            release()
+        del resolve
+        release()
+
+    return table.filter(F.col("bucket") >= 0).select("chunk", "bucket", "keys").repartition(n_buckets, "bucket").mapInArrow(run, ANSWERS)
+
+
 def home(table: DataFrame, answers: DataFrame, finish: Callable[[bytes, dict[int, bytes]], pa.Table], schema) -> DataFrame:
     """Answers back at their chunk; ``finish`` makes the rows of one chunk from its payload and its answers by bucket."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return finish(left.column("payload")[0].as_py(), dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True)))
+        out = finish(left.column("payload")[0].as_py(), dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True)))
+        release()
+        return out
 
     payload = table.filter(F.col("bucket") < 0).select("chunk", "payload")
     return payload.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ask, buckets_of, chunks, home, pack_strings, planes, squeeze, tabled, unpack_strings, unplanes, unsqueeze, untabled
+from .exchange import ask, buckets_for, chunks, home, pack_strings, planes, squeeze, tabled, text_bytes, unpack_strings, unplanes, unsqueeze, untabled
 from .shared import crc_mod, words_of
 
 MARK = "▁"
@@ -94,7 +94,9 @@ def lattice_scores(df: DataFrame, path: str, modulus: int = 7, held: int = 2, id
 
     Rows whose crc32 of the id modulo ``modulus`` is ``held`` are scored but never learnt from.
     """
-    n_buckets = buckets_of(df)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    n_buckets = buckets_for(text_bytes(docs, "text"))
 
     def make(table: pa.Table):
         numbers, rows, sizes, held_out = {}, [], [], []
@@ -126,8 +128,8 @@ def lattice_scores(df: DataFrame, path: str, modulus: int = 7, held: int = 2, id
         """Words of a bucket with their training counts, and each chunk's words as indexes of them."""
         numbers, where, counts = {}, [], []
         for blob in blobs:
-            sizes, joined, n = unsqueeze(blob)
-            own = unpack_strings(sizes, joined)
+            *packed, n = unsqueeze(blob)
+            own = unpack_strings(*packed)
             where.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int64, len(own)))
             counts.append(unplanes(n, np.uint64))
         total = np.zeros(len(numbers), np.uint64)
@@ -152,8 +154,6 @@ def lattice_scores(df: DataFrame, path: str, modulus: int = 7, held: int = 2, id
         seen = np.flatnonzero(pieces)
         return pa.table({"piece": pa.array([*seen.tolist(), -1, -2, -3], pa.int32()), "n": pa.array([*pieces[seen].tolist(), int(total.sum()), len(learnt), ends], pa.int64())})
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
     table = chunks(docs, "text", make, "lattice")
     sums = table.filter("bucket >= 0").select("bucket", "keys").groupBy("bucket").applyInArrow(tally, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     sums = {r.piece: r.n for r in sums.collect()}  # at most one row for each piece of the vocabulary

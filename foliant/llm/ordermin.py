@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, release, words_of, written
+from .shared import release, slices, words_of, written
 
 K, KEEP, SKETCHES, THRESHOLD = 5, 2, 20, 0.8
 SHORT_K = 3  # words of the k-mers of the second sketches
@@ -244,13 +244,12 @@ def all_pairs(rest: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id and class_id (the least id of the class) for every row."""
-    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches):
         hashes = Words()
-        for b in batches:
+        for b in slices(batches, 1):
             keys, keep, sizes = [], [], []
             for t in b.column(1).to_pylist():
                 own = lowered(t)
@@ -283,7 +282,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     def encode(batches):
         """Word hashes of the rows whose text is the node's: a null or repeated id may bring others."""
         hashes = Words()
-        for b in batches:
+        for b in slices(batches, 1):
             keys, found, profiles = [], [], []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = lowered(text)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +33,55 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_CLEANED: set[str] = set()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/foliant-{spark.sparkContext.applicationId}"
+    if path not in _CLEANED:
+        _CLEANED.add(path)
+
+        def clean():
+            with contextlib.suppress(Exception):  # the session may be gone already
+                delete(spark, path)
+
+        atexit.register(clean)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage ends here and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder, read again: lineage ends here and survives lost executors.
+
+    The table stays until ``dropped`` or the end of the application: results that are yet to be read may need it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path:
+            delete(t.sparkSession, path)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def width(spark: SparkSession) -> int:
@@ -67,18 +114,30 @@ BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
-    """From now on texts pass to Python in batches of about ``size``, unless the session says otherwise: a batch of 10,000
-    long texts may not fit a worker. Plans read the setting when they run, so it stays."""
+    """For applications, not operators: from now on rows pass to Python in batches of about ``size``, unless the session says
+    otherwise. Operators cut what they get by ``slices``; this bounds what Spark itself holds."""
     if spark.conf.get(BATCH_KEY, None) is None:
         spark.conf.set(BATCH_KEY, size)
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m"):
-    """Plans that run inside pass texts to Python in batches of about ``size``."""
+    """Plans that run inside pass rows to Python in batches of about ``size``."""
     before = spark.conf.get(BATCH_KEY, None)
     spark.conf.set(BATCH_KEY, size)
     try:
         yield
     finally:
         spark.conf.set(BATCH_KEY, before) if before is not None else spark.conf.unset(BATCH_KEY)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at least a row and about ``limit`` bytes of ``column``: Python objects are made of one at a time."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0)).astype(np.int64) + 16)
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield b.slice(start, stop - start)
+            start = stop

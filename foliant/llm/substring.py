@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ask, buckets_of, chunks, home, planes, squeeze, tabled, unplanes, unsqueeze, untabled
+from .exchange import ask, buckets_for, chunks, home, planes, squeeze, tabled, text_bytes, unplanes, unsqueeze, untabled
 from .shared import release, small_batches, width, words_of
 
 SIZE, ANCHOR = 35, 20
@@ -97,9 +97,9 @@ def cells(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return x >> down, (x * MULT_C) >> down
 
 
-def sketch(texts: DataFrame, n_chars: int, size: int, anchor: int) -> tuple[list[np.ndarray], int]:
+def sketch(texts: DataFrame, n_bytes: int, size: int, anchor: int) -> tuple[list[np.ndarray], int]:
     """One bit for each cell of the two merged rows: whether it counts two or more."""
-    want = max(LEAST_CELLS, min(MOST_CELLS, n_chars // 13))
+    want = max(LEAST_CELLS, min(MOST_CELLS, n_bytes // 13))
     bits = int(want - 1).bit_length()
     shard_bits = SHARDS.bit_length() - 1
     low = np.uint64(bits - shard_bits)
@@ -177,11 +177,12 @@ def remove_repeats(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     With ``keep_text``: all columns of ``df``, ``text_col`` with the kept words joined by one space (texts that lose
     nothing stay as they are). Without: id, n_words, n_removed and kept_sha256, the digest of the kept words so joined.
     """
-    spark, n_buckets = df.sparkSession, buckets_of(df)
+    spark = df.sparkSession
     anchor = max(1, min(ANCHOR, size - 1))
     texts = df.select(F.col(text_col).alias("text"))
-    n_chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    rows, bits = sketch(texts, n_chars, size, anchor)
+    n_bytes = text_bytes(texts, "text")
+    n_buckets = buckets_for(n_bytes)
+    rows, bits = sketch(texts, n_bytes, size, anchor)
     shared = spark.sparkContext.broadcast(rows)  # at most 2 x MOST_CELLS bits
 
     def make(table: pa.Table):
