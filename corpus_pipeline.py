@@ -1,7 +1,10 @@
 """Corpus preparation: language ID, near-duplicates, repeated passages, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of ``documents``; the last returns what the encoder makes of each text.
+columns of ``documents``; the last returns what the encoder makes of each text. Extra columns pass through whatever their
+names; empty tables give empty results. Language ID drops null texts and texts without a letter; the other stages keep null
+and empty texts. Equal texts are one near-duplicate class, of which the row with the least id stays; of rows with one id and
+one text, one stays; rows with a null id stay. Very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -11,21 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, langid, ordermin, substring, winnow
-from foliant.llm.shared import written
+from foliant.llm.shared import bounded_batches, written
+
+#: Smaller than where the encoder runs alone: workers still hold what earlier stages left.
+CHUNK_BYTES = 8 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go: null texts, texts without a letter, and those the kernel can't tell."""
+    bounded_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one with the least id."""
+    bounded_batches(spark)
     return ordermin.keep_first(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that stand elsewhere too go; n_chars follows the text where the table has it."""
+    bounded_batches(spark)
     out = substring.remove_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -36,7 +45,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    bounded_batches(spark)
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, chunk_bytes=CHUNK_BYTES)
 
 
 STAGES = [
