@@ -134,21 +134,110 @@ def base_by_hand(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), failed
 
 
-def test_quality_rules(spark, sf):
-    own = ODD + made(6) + ["a b c d e f g h i j\na b c d e f g h i j\n\n \n#|<", "one two three four five " * 4] + texts(spark, sf)[:80]
-    got = {r.doc_id: r for r in perplexity.quality_rules(frame(spark, own)).collect()}
-    for i, t in enumerate(own):
+def grams_by_hand(text):
+    padded = "    " + "".join(" " if ord(c) <= 32 else "0" if c in "0123456789" else c for c in text.lower()) + " "
+    return [padded[i : i + 5] for i in range(len(padded) - 4)]
+
+
+def kneser_ney_by_hand(texts):
+    """p of each 5-gram of some texts of one language, with dictionaries."""
+    counts = {5: Counter(g for t in texts for g in grams_by_hand(t))}
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    below = {"": 1 / len(counts[1])}
+    for k in (1, 2, 3, 4, 5):
+        own = counts[k]
+        n = [sum(c == i for c in own.values()) for i in range(5)]
+        d = [0.5, 1.0, 1.5]
+        if all(n[1:5]):
+            y = n[1] / (n[1] + 2 * n[2])
+            est = [i - (i + 1) * y * n[i + 1] / n[i] for i in (1, 2, 3)]
+            if all(0 < x < i for i, x in enumerate(est, 1)):
+                d = est
+        d = [1.0 if k >= 3 else d[0], *d[1:]]
+        less = {g: d[min(c, 3) - 1] for g, c in own.items()}
+        total, mass = Counter(), Counter()
+        for g, c in own.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += less[g]
+        below = {g: (c - less[g] + mass[g[:-1]] * below[g[1:]]) / total[g[:-1]] for g, c in own.items()}
+    return below
+
+
+def rules_by_hand(rows, reach=3.0, slack=0.25):
+    """(kept, perplexity) of each (text, lang)."""
+    logs, entropy = {}, []
+    for lang in {x for _, x in rows}:
+        texts = [t for t, x in rows if x == lang and t]
+        logs[lang] = kneser_ney_by_hand(texts) if texts else {}
+    for t, lang in rows:
+        entropy.append(round(-sum(math.log(logs[lang][g]) for g in grams_by_hand(t)) / len(grams_by_hand(t)), 4) if t else None)
+    out = []
+    for (t, lang), e in zip(rows, entropy, strict=True):
+        own = sorted(x for (u, y), x in zip(rows, entropy, strict=True) if y == lang and u and not base_by_hand(u)[5])
+        inside = True
+        if own and e is not None:
+            q1, q3 = (own[math.ceil(len(own) * q) - 1] for q in (0.25, 0.75))
+            wide = max(reach * (q3 - q1), slack)
+            inside = q1 - wide <= e <= q3 + wide
+        out.append((not base_by_hand(t)[5] and inside, math.exp(e) if e is not None else None))
+    return out
+
+
+def sentences(seed, n):
+    """Texts with a word order."""
+    rng = random.Random(seed)
+    say = lambda: f"the {rng.choice(NOUNS)} of the {rng.choice(NOUNS)} will {rng.choice(VERBS)} every {rng.choice(NOUNS)} in the {rng.choice(NOUNS)}."
+    return [" ".join(say() for _ in range(rng.randint(4, 9))) for _ in range(n)]
+
+
+NOUNS = ["river", "house", "teacher", "window", "garden", "engine", "letter", "market", "forest", "doctor", "bridge", "harbour", "kitchen", "village"]
+VERBS = ["follow", "answer", "carry", "paint", "repair", "describe", "measure", "visit"]
+
+
+def shuffled(text, seed):
+    letters = list(text)
+    random.Random(seed).shuffle(letters)
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_quality_rules(spark, sf, broadcast):
+    own = [(t, "en") for t in sentences(1, 120)] + [(shuffled(t, i), "en") for i, t in enumerate(sentences(2, 6))]
+    own += [(t, "de") for t in made(6)] + [("a b c d e f g h i j\na b c d e f g h i j\n\n \n#|<", None), ("one two three four five " * 4, None), (None, "en"), ("", None), ("x", "zz")]
+    own += [(t, "und") for t in ODD] + [(t, "x") for t in texts(spark, sf)[:60]]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(own)], "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in perplexity.quality_rules(df, broadcast_grams=broadcast).collect()}
+    want = rules_by_hand(own)
+    for i, (t, _) in enumerate(own):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_by_hand(t), t
-        assert not (r.kept and r.base_failed)
+        assert r.kept == want[i][0], t
+        assert (r.perplexity is None) == (want[i][1] is None) and (r.perplexity is None or math.isclose(r.perplexity, want[i][1], rel_tol=2e-3)), t
+    kept = [got[i].kept for i in range(126) if not got[i].base_failed]
+    assert len(kept) > 90 and all(kept[:-6]) and not any(kept[-6:])  # shuffled letters are rejected
 
 
-def test_kneser_ney_is_a_distribution():
-    codes = np.concatenate([perplexity.codes(t) for t in made(7)])
-    model = perplexity.KneserNey(*np.unique(codes, return_counts=True))
-    a = perplexity.ALPHABET
-    for context in (0, 41, 1234, a**3 - 1, int(codes[5]) // a):
-        assert math.isclose(model.prob(np.arange(a) + context * a).sum(), 1, abs_tol=1e-6)
+def test_scripts_differ(spark):
+    """Texts of other scripts are scored by their wording: shuffled letters are less likely and rejected."""
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψωάέ")
+    plain = [t.translate(greek) for t in sentences(3, 120)]
+    own = plain + [shuffled(t, i) for i, t in enumerate(plain[:5])]
+    got = {r.doc_id: r for r in perplexity.quality_rules(frame(spark, own)).collect()}
+    assert all(got[i].kept or got[i].base_failed for i in range(120)) and sum(got[i].kept for i in range(120)) > 90
+    assert not any(got[i].kept for i in range(120, 125))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text cut into pieces has the n-grams of the whole."""
+    text = " ".join(sentences(4, 30))
+    monkeypatch.setattr(perplexity, "PIECE", 97)
+    monkeypatch.setattr(perplexity, "DENSE", 500)
+    counts = Counter()
+    for _, _, g in perplexity.pieces(["x", "x"], [text, None]):
+        for p, n in zip(g.points, g.counts.tolist(), strict=True):
+            counts["".join(map(chr, p))] += n
+    assert counts == Counter(grams_by_hand(text))
 
 
 # -- 7 ------------------------------------------------------------------------------------------------------------------
