@@ -10,17 +10,22 @@ similarity of 0.8, the lowest, simulated pairs miss all buckets in 4 of 100 case
 
 Texts with equal words are one node. In each bucket of a sketch, and in the finer buckets of that sketch with the two
 after it, each node is first compared with the bucket's first and last node, and the classes of these edges are found.
-What a bucket leaves undecided, pairs of nodes in different classes, is decided in rounds: the node with most edges is
-compared with those of other classes and leaves the bucket, as long as that shrinks what is left by a quarter; then all
-pairs that are left are compared. So each pair that shares a bucket is compared or in one class already. Only pairs whose
-lengths or word profiles exclude an edge (lower bounds of the distance) are not aligned. An edge holds if the words of
+What a bucket leaves undecided, pairs of nodes in different classes, is decided exactly: in buckets of up to
+``FEW_NODES`` nodes by all their pairs; nodes of more crowded ones by a prefix filter. Two texts with an edge share one of the
+rarest words of each (a fifth of them and one more, in one order of all words), so only nodes that share such a word are compared; this finds
+every edge between nodes of crowded buckets. So each pair that shares a bucket is in one class already, is compared, or is
+excluded by a lower bound of its distance (lengths, word profiles, rare words). An edge holds if the words of
 both align within a band of ``1 - THRESHOLD`` of the longer; classes are the connected components of the edges. Nothing
-of the documents comes to the driver. Rows with no words are classes of their own; a class's id is the least id in it. Rows with a null id belong
-to the class of their text. Repeated rows share a class. Columns besides the id and the text are not read.
+of the documents comes to the driver but counts of the ``COMMON`` most frequent words.
+
+Rows with no words are classes of their own; a class's id is the least id in it. Rows with a null id belong
+to the class of their text. Repeated rows share a class. Very long texts are taken whole; their
+alignment first tries the words that each has once. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import math
@@ -31,13 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, slices, words_of, written
+from .shared import dropped, fresh, release, slices, words_of, written
 
 K, KEEP, SKETCHES, THRESHOLD = 5, 2, 20, 0.8
 SHORT_K = 3  # words of the k-mers of the second sketches
 FEW, DROPS = 14, 2  # texts of up to FEW words are found by what is left without up to DROPS of them
 LEVELS = (1, 3)
 BINS = 256  # of a word profile
+FEW_NODES = 16  # a bucket of so many nodes has its pairs compared one by one
+COMMON = 1 << 16  # words whose frequency orders prefixes; all others count as rare
+LONG = 5000  # words from which an alignment is first tried by anchors
 PIECE = 1 << 14  # k-mers at a time, which bounds a worker's memory
 STEP, MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
@@ -193,11 +201,43 @@ def distance(a: list[int], b: list[int], most: int) -> int | None:
     return value if value <= most else None
 
 
+def anchored(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether an alignment through words that each text has once, in order, is within ``most``; if not nothing is known."""
+    one, two = (dict(zip(*(v.tolist() for v in np.unique(x, return_index=True)), strict=True)) for x in (a, b))
+    single = [set(w[c == 1].tolist()) for w, c in (np.unique(x, return_counts=True) for x in (a, b))]
+    places = sorted((one[w], two[w]) for w in single[0] & single[1])
+    ends: list[int] = []  # the longest rising run of places, by its ends
+    chain: list[int] = []
+    back = [-1] * len(places)
+    for k, (_, y) in enumerate(places):
+        at = bisect.bisect_left(ends, y)
+        back[k] = chain[at - 1] if at else -1
+        ends[at : at + 1], chain[at : at + 1] = [y], [k]
+    k, run = chain[-1] if chain else -1, [(len(a), len(b))]
+    while k >= 0:
+        run.append(places[k])
+        k = back[k]
+    total, i, j = 0, 0, 0
+    for x, y in reversed(run):
+        n, m = x - i, y - j
+        if n and m:
+            own = distance(a[i:x].tolist(), b[j:y].tolist(), min(most - total, max(n, m))) if max(n, m) < LONG else max(n, m)
+            total += most + 1 if own is None else own
+        else:
+            total += n + m
+        if total > most:
+            return False
+        i, j = x + 1, y + 1
+    return True
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     longest = max(len(a), len(b))
     most = int((1 - threshold) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    if longest >= LONG and anchored(a, b, most):
+        return True
     return distance(a.tolist(), b.tolist(), most) is not None
 
 
@@ -223,18 +263,6 @@ def size_class(size: str, threshold: float):
     return F.floor(F.log(size) / -math.log(threshold - 0.01)).cast("int")
 
 
-def ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("root"), F.greatest(a, b).alias("node")]
-
-
-def star_pairs(rest: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs of each bucket's node of most edges with those of other classes, and the rows without these nodes."""
-    stars = rest.join(degrees, "node", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "label", "size")).alias("s"))
-    both = written(rest.join(stars, "band").select("band", "node", "label", "size", F.col("s.node").alias("star"), F.col("s.label").alias("of"), F.col("s.size").alias("about")), "stars")
-    pairs = both.filter((F.col("label") != F.col("of")) & (F.abs(F.col("size") - F.col("about")) <= 1)).select(*ordered("star", "node")).distinct()
-    return pairs, both.filter("node != star").select("band", "node", "size")
-
-
 def all_pairs(rest: DataFrame) -> DataFrame:
     """All pairs of a bucket's nodes in different classes whose lengths allow an edge."""
     a = rest.select("band", "size", F.col("node").alias("root"), F.col("label").alias("of"))
@@ -242,9 +270,62 @@ def all_pairs(rest: DataFrame) -> DataFrame:
     return a.join(b, ["band", "size"]).filter((F.col("root") < F.col("node")) & (F.col("of") != F.col("label"))).select("root", "node").distinct()
 
 
+def rare_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes (crowd: node, label, words) in different classes that share one of the rarest words of each.
+
+    An edit takes one word out of a text at most, so texts with an edge have all but ``(1 - threshold)`` of the longer in common, and
+    in any one order of all words the first ``(1 - threshold)`` of a text and one more hold a common one.
+    """
+
+    def tally(batches):
+        for b in slices(batches, 2):
+            words, n = np.unique(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+        release()
+
+    common = crowd.mapInArrow(tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    order = np.argsort(common.column("word").to_numpy())
+    shared = crowd.sparkSession.sparkContext.broadcast((common.column("word").to_numpy()[order], common.column("n").to_numpy()[order]))  # COMMON numbers
+
+    def prefixes(batches):
+        known, counts = shared.value
+        for b in slices(batches, 2, 1 << 20):
+            of, found, sizes = [], [], []
+            for row, raw in enumerate(b.column(2).to_pylist()):
+                words = np.frombuffer(raw, np.uint32).astype(np.int64)
+                place = np.argsort(words, kind="stable")
+                own = words[place]
+                first = np.append(True, own[1:] != own[:-1])
+                at = np.arange(len(own))
+                label = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)  # how many like it came before
+                near = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                often = np.where(known[near] == own, counts[near], 0)
+                token = mixed(own.astype(np.uint64) * STEP + label).view(np.int64)
+                token = token[np.lexsort((token, often))][: int((1 - threshold) * len(own) + 1e-9) + 1]
+                of.append(np.full(len(token), row))
+                found.append(token)
+                sizes.append(np.full(len(token), len(own)))
+            of = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(sizes))], names=["token", "node", "label", "size"])
+        release()
+
+    tokens = written(crowd.mapInArrow(prefixes, "token bigint, node binary, label binary, size bigint"), "tokens")
+    mixed_classes = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    tokens = tokens.join(mixed_classes, "token", "left_semi")
+    a, b = (tokens.select("token", F.col("node").alias(n), F.col("label").alias(f"of_{n}"), F.col("size").alias(f"size_{n}")) for n in ("root", "node"))
+    longest = F.greatest("size_root", "size_node")
+    near = F.abs(F.col("size_root") - F.col("size_node")) <= F.floor((1 - threshold) * longest + 1e-9)
+    return a.join(b, "token").filter((F.col("root") < F.col("node")) & (F.col("of_root") != F.col("of_node")) & near).select("root", "node").distinct()
+
+
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id and class_id (the least id of the class) for every row."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return classified(df, threshold, id_col, text_col).select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+
+
+def classified(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Columns id, own (the text's hash), node, label (of the class; null for rows without words) and class_id for every row."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches):
@@ -260,27 +341,27 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
                     continue
                 keys.append(xxhash.xxh3_128_digest(b" ".join(own)))
                 keep.append(bucket_keys(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(keep, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "node", "bands", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(keep, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "own", "node", "bands", "size"])
         release()
 
-    signed = written(docs.mapInArrow(sign, f"id {kind}, node binary, bands array<bigint>, size bigint"), "sketches")
-    rows = signed.select("id", "node")
+    signed = written(docs.mapInArrow(sign, f"id {kind}, own bigint, node binary, bands array<bigint>, size bigint"), "sketches")
+    rows = signed.select("id", "own", "node")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     banded = signed.filter("node is not null").select("node", "size", F.explode("bands").alias("band"))
     # equal texts have equal bands: both sides are one row for each text and band
     ends = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     both = F.explode(F.array(F.struct(F.col("first").alias("root"), "node"), F.struct(F.col("node").alias("root"), F.col("last").alias("node"))))
     pairs = written(banded.join(ends, "band").select(both.alias("p")).select("p.*").filter("root < node").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("root", "node")).alias("node")).distinct()
+    if pairs.isEmpty():
+        return rows.join(nodes, "node", "left").select("id", "own", "node", F.col("node").alias("label"), F.col("least").alias("class_id"))
 
-    # one row's text for each node that has a candidate
-    bearer = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    texts = docs.join(bearer, "id").select("node", "text", "id")
-    if docs.isEmpty() or pairs.isEmpty():
-        return rows.select(F.col("id").alias(id_col), "node").join(nodes, "node", "left").select(id_col, F.coalesce("least", F.col(id_col)).alias("class_id"))
+    # one row's text for each node that has a candidate: of a row with an id, if there is one
+    wanted = pairs.select(F.explode(F.array("root", "node")).alias("node")).distinct()
+    bearer = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("b")).select("node", F.col("b.id").alias("of"), F.col("b.own").alias("own"))
+    texts = docs.join(bearer, (docs.own == bearer.own) & docs.id.eqNullSafe(bearer.of)).select("node", "text")
 
     def encode(batches):
-        """Word hashes of the rows whose text is the node's: a null or repeated id may bring others."""
+        """Word hashes of the rows whose text is the node's; hashes of texts may meet."""
         hashes = Words()
         for b in slices(batches, 1):
             keys, found, profiles = [], [], []
@@ -294,18 +375,19 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary()), pa.array(profiles, pa.binary())], names=["node", "words", "profile"])
         release()
 
-    texts = texts.select("node", "text").mapInArrow(encode, "node binary, words binary, profile binary").dropDuplicates(["node"])
-    texts = written(texts, "words")
+    texts = written(texts.mapInArrow(encode, "node binary, words binary, profile binary").dropDuplicates(["node"]), "words")
 
     def possible(batches):
         for b in batches:
             ok = near_profiles(*(b.column(i).to_pylist() for i in range(2, 6)), threshold)
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     def verify(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             ok = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     def with_both(pairs, *columns):
         sides = [texts.select(F.col("node").alias(end), *[F.expr(c).alias(f"{c.split('(')[0]}_{end}") for c in columns]) for end in ("node", "root")]
@@ -313,37 +395,30 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     def compared(pairs):
         likely = written(with_both(pairs, "profile", "length(words)").mapInArrow(possible, "root binary, node binary"), "likely")
-        return written(with_both(likely, "words").mapInArrow(verify, "root binary, node binary"), "edges")
+        found = written(with_both(likely, "words").mapInArrow(verify, "root binary, node binary"), "edges")
+        dropped(likely)
+        return found
 
-    seen, edges = pairs, compared(pairs)
-    labels = components(written(thinned(edges), "thinned"))
+    edges = compared(pairs)
+    labels = components(edges)
     inner = (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))
     rest = banded.join(ends, "band").filter(inner).select("band", "node", size_class("size", threshold).alias("size")).distinct()
-    before, done = math.inf, False
-    while not done:
-        rest = written(rest.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "rest")
-        alike = rest.groupBy("band", "label").agg(F.count("*").cast("double").alias("n"))
-        open_bands = written(alike.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).select("band", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("open")).filter("open > 0"), "open")
-        left = open_bands.agg(F.sum("open").alias("open"), F.sum("n").alias("n")).first()
-        if not left.open:
-            break
-        rest = rest.join(open_bands.select("band"), "band")
-        done = left.open <= 4 * left.n or left.open > 0.75 * before
-        before = left.open
-        if done:
-            new = all_pairs(rest)
-        else:
-            degrees = edges.select(F.explode(F.array("root", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-            new, rest = star_pairs(rest, degrees)
-        new = written(new.join(seen, ["root", "node"], "left_anti"), "candidates")
-        found = compared(new)
-        seen, edges = seen.union(new), edges.union(found)
-        if not found.isEmpty():
-            labels = components(written(thinned(edges), "thinned"))
+    rest = written(rest.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "rest")
+    open_bands = written(rest.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "n"), "open")
+    few = all_pairs(rest.join(open_bands.filter(F.col("n") <= FEW_NODES).select("band"), "band", "left_semi"))
+    crowd = rest.join(open_bands.filter(F.col("n") > FEW_NODES).select("band"), "band", "left_semi").select("node", "label").distinct()
+    crowd = written(texts.join(crowd, "node").select("node", "label", "words"), "crowd")
+    new = few if crowd.isEmpty() else few.union(rare_pairs(crowd, threshold)).distinct()
+    new = written(new.join(pairs, ["root", "node"], "left_anti"), "candidates")
+    found = compared(new)
+    if not found.isEmpty():
+        dropped(labels)
+        labels = components(edges.union(found))
+    dropped(pairs, texts, edges, rest, open_bands, crowd, new, found)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    classes = named.join(least, "label").select("node", "class_id")
-    return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    classes = named.join(least, "label").select("node", "label", "class_id")
+    return rows.join(classes, "node", "left").select("id", "own", "node", "label", "class_id")
 
 
 def thinned(edges: DataFrame) -> DataFrame:
@@ -361,24 +436,32 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is a written table. Labels only fall; the rounds end when none does.
     """
-    both = written(edges.select(F.col("root").alias("a"), F.col("node").alias("b")).union(edges.select("node", "root")).distinct(), "both")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    few = written(thinned(edges), "thinned")
+    both = written(few.select(F.col("root").alias("a"), F.col("node").alias("b")).union(few.select("node", "root")).distinct(), "both")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
         passed = labels.join(heard, labels.node == heard.a).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         to = passed.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = written(passed.join(to, "label", "left").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        labels = jumped.select("node", "label")
-        if jumped.filter("old != label").isEmpty():
+        jumped = written(passed.join(to, "label", "left").select("node", F.least("label", "next").alias("label"), (F.col("old") != F.least("label", "next")).alias("moved")), "labels")
+        dropped(labels)
+        labels = jumped
+        if labels.filter("moved").isEmpty():
+            dropped(few, both)
             return labels
 
 
 def keep_first(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one row for each class: the one with the least id (rows without words are classes of their own).
+    """All columns of one row for each class: the one with the least id, and of unlike texts with that id the one of least hash
+    (rows without words are classes of their own). Of rows with one id and one text one stays, whichever.
 
     Rows with a null id all stay: nothing tells them apart.
     """
-    classes = near_duplicates(df, threshold, id_col, text_col)
-    first = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__kept")).distinct()
-    kept = df.join(first, F.col(id_col) == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))
+    rows = classified(df, threshold, id_col, text_col).filter(F.col("id").isNotNull())
+    alone = rows.filter("label is null").select("id", "own")
+    of_classes = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "own")).alias("head")).select("head.id", "head.own")
+    of, own = fresh(df.columns, "kept_id"), fresh(df.columns, "kept_own")
+    heads = alone.union(of_classes).distinct().select(F.col("id").alias(of), F.col("own").alias(own))
+    hashed = df.withColumn(own, F.xxhash64(text_col))
+    kept = hashed.join(heads.withColumnRenamed(own, f"{own}_of"), (hashed[id_col] == F.col(of)) & (hashed[own] == F.col(f"{own}_of")), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own).unionByName(df.filter(F.col(id_col).isNull()))

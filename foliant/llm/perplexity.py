@@ -32,7 +32,7 @@ from .exchange import buckets_for, chunks, home, squeeze, tabled, text_bytes, un
 from .shared import SPACE, dropped, release, slices, words_of, written
 
 ORDER, PRUNED = 5, 3
-REACH, SLACK = 3.0, 0.25
+REACH, SLACK = 3.0, 0.5
 BROADCAST_GRAMS = 8_000_000  # 12 bytes each
 PLACES = 4  # decimals of an entropy
 PIECE = 1 << 20  # symbols at a time, which bounds a worker's memory

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_bruteforce import classes_by_hand, frame
 
 from foliant.llm import ordermin
@@ -26,20 +27,74 @@ def test_star_group_and_shared_passage(spark):
     own = [" ".join(t) for t in own]
     got = {r.doc_id: r.class_id for r in ordermin.near_duplicates(frame(spark, own)).collect()}
     sketched = [set(ordermin.bucket_keys(hashed(t)).tolist()) for t in own]
-    parent = list(range(len(own)))
+    links = [(i, j) for i in range(len(own)) for j in range(i) if ordermin.similar(hashed(own[i]), hashed(own[j]))]
+    least = closed(len(own), [(i, j) for i, j in links if sketched[i] & sketched[j]])
+    most = closed(len(own), links)
+    for i in range(len(own)):  # all pairs that share a bucket are joined, and nothing but true pairs
+        assert got[i] == got[least[i]] and most[i] == most[got[i]]
+    assert sum(got[i] == 0 for i in range(151)) > 120
+
+
+def closed(n, links):
+    """The least member of each one's class."""
+    parent = list(range(n))
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in range(len(own)):  # the rule in the open: all pairs that share a bucket
-        for j in range(i):
-            if sketched[i] & sketched[j] and ordermin.similar(hashed(own[i]), hashed(own[j])):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    assert [got[i] for i in range(len(own))] == [root(i) for i in range(len(own))]
-    assert sum(got[i] == 0 for i in range(151)) > 120
+    for i, j in links:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    return [root(i) for i in range(n)]
+
+
+def test_crowded_bucket_of_unlike_texts(spark):
+    """Hundreds of texts around one passage, among them near pairs that share no rare word with others."""
+    rng = random.Random(25)
+    passage = "this text is licensed under the same general terms as all of the others".split()
+    own, pairs = [], []
+    for i in range(150):
+        text = passage + [f"t{i}-{j}" for j in range(rng.randint(6, 25))]
+        own.append(text)
+        if i % 5 == 0:
+            pairs.append((len(own) - 1, len(own)))
+            own.append(altered(rng, text, 0.1))
+    own = [" ".join(t) for t in own]
+    got = {r.doc_id: r.class_id for r in ordermin.near_duplicates(frame(spark, own)).collect()}
+    links = [(i, j) for i in range(len(own)) for j in range(i) if ordermin.similar(hashed(own[i]), hashed(own[j]))]
+    want = closed(len(own), links)
+    assert [got[i] for i in range(len(own))] == want and all(got[a] == got[b] for a, b in pairs)
+
+
+def test_one_id_with_unlike_texts_and_clashing_columns(spark):
+    rows = [(5, "one text of its own with some words in it"), (5, "quite another that nobody else has written down"), (7, "a third which is like neither of the two others"), (8, "a third which is like neither of the two others"), (5, "one text of its own with some words in it"), (None, "a third which is like neither of the two others"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for name in ("kept_id", "kept_own", "own", "label", "__kept", "id", "node", "class_id", "Kept_Own_"):
+        df = df.withColumn(name, F.lit("x"))
+    out = ordermin.keep_first(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in out.collect()) == sorted([(5, rows[0][1]), (5, rows[1][1]), (7, rows[2][1]), (0, rows[2][1]), (9, "")])
+
+
+def test_text_that_only_null_ids_have(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    got = ordermin.near_duplicates(spark.createDataFrame([(None, text), (None, text), (7, text + " more"), (3, "unlike")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 7), (0, 7), (3, 3), (7, 7)]
+
+
+def test_long_alignment_by_anchors():
+    rng = random.Random(26)
+    one = ordermin.np.array([rng.randrange(2**32) for _ in range(60_000)], ordermin.np.uint32)
+    two = ordermin.np.delete(one, rng.sample(range(len(one)), 6000))
+    two[rng.sample(range(len(two)), 3000)] = 1
+    assert ordermin.similar(one, two)
+    small = [rng.randrange(50) for _ in range(300)]
+    for share in (0.05, 0.15, 0.3):  # anchors never claim what the full alignment denies
+        other = [x if rng.random() > share else rng.randrange(50) for x in small]
+        a, b = (ordermin.np.array(x, ordermin.np.uint32) for x in (small, other))
+        assert not ordermin.anchored(a, b, 60) or ordermin.distance(small, other, 60) is not None
 
 
 def hashed(text):
