@@ -56,7 +56,11 @@ def contaminated_by_hand(docs, items, window=10):
     return out
 
 
-def test_winnowing(spark):
+@pytest.mark.parametrize(("broadcast", "bits"), [(200_000, 22), (0, 12)])
+def test_winnowing(spark, monkeypatch, broadcast, bits):
+    """The same rows whatever is broadcast and however full the bitmap is."""
+    monkeypatch.setattr(winnow, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(winnow, "MOST_BITS", bits)
     rng = random.Random(2)
     items = [(i, " ".join(rng.choice(["al", "be", "Ga", "de", "eé"]) for _ in range(n))) for i, n in enumerate([0, 1, 3, 9, 10, 11, 25, 40, 40])] + [(20, None)]
     own = [(i, " ".join(rng.choice(["AL", "be", "ga", "de,", "eé"]) for _ in range(rng.randint(0, 80)))) for i in range(40)]

@@ -13,7 +13,7 @@ ROWS = [(1, "Hello world, this is a text.", "en"), (2, None, "en"), (3, "", "de"
 
 def documents(spark, rows=ROWS):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    for name in ("id", "node", "bucket", "chunk", "own", "w", "h", "payload", "class_id", "n_words", "key", "__id"):
+    for name in ("id", "node", "bucket", "chunk", "own", "w", "h", "payload", "class_id", "n_words", "key", "__id", "__kept", "__f_id", "__f_own", "hit_id", "hit_own", "kept_own", "f_id", "hash", "label"):
         df = df.withColumn(name, F.lit("x"))
     return df
 
