@@ -3,7 +3,8 @@
 ``parse_page`` is a vectorised function of one row and shuffles nothing. What is particular to a site (where the article
 stands, what is junk) is a ``Template``. A page that doesn't fit it gives a row with ``error``. The parser does not repair
 broken markup the way browsers do: an element stays open until its end, a new sibling of its kind, or its parent's end.
-Elements nested deeper than ``DEEPEST`` become siblings. Null and empty pages are errors.
+Elements nested deeper than ``DEEPEST`` become siblings. A cell spans at most ``WIDEST_SPAN`` columns or rows, the limit that
+browsers have for columns: a page can't ask for a table of any size. Null and empty pages are errors.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from . import urls
 
 DEEPEST = 200
+WIDEST_SPAN = 1000
 HEADINGS = {f"h{n}": n for n in range(1, 7)}
 #: Elements without an end, and what a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,7 +264,7 @@ def _rows(node: Node) -> Iterator[Node]:
 
 def _span(cell: Node, name: str) -> int:
     try:
-        return min(1000, max(1, int(cell.attrs.get(name) or 1)))
+        return min(WIDEST_SPAN, max(1, int(cell.attrs.get(name) or 1)))
     except ValueError:
         return 1
 

@@ -73,6 +73,13 @@ class Piece:
     cost: int
 
 
+def is_divider(line: str) -> bool:
+    """Whether a line divides a table's header from its rows: between bars, three dashes or more a cell, with colons for alignment."""
+    line = line.strip()
+    cells = [c.strip().removeprefix(":").removesuffix(":") for c in line[1:-1].split("|")]
+    return len(line) > 1 and line[0] == line[-1] == "|" and all(len(c) >= 3 and not c.strip("-") for c in cells)
+
+
 class Packer:
     """Windows of at most ``budget`` tokens for one tokenizer."""
 
@@ -104,11 +111,11 @@ class Packer:
     def table(self, block: str) -> list[str]:
         """Rows under a repeated header; a table without a header, or with one that fills the budget, is plain lines."""
         lines = block.split("\n")
-        has_header = len(lines) > 1 and set(lines[1]) <= set("|- ") and "-" in lines[1]
+        has_header = len(lines) > 1 and is_divider(lines[1])
         if has_header and len(lines) == 2:
             return [block]
         head = "\n".join(lines[:2])
-        room = self.budget - self.cost(head) if has_header else 0
+        room = self.budget - self.cost(f"{head}\n") if has_header else 0
         if room <= 0:
             return self.lines(lines)
         return [f"{head}\n{w}" for w in Packer(self.tokenizer, room).lines(lines[2:])]
