@@ -64,12 +64,28 @@ _OP1 = r"""
 WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, text, md5(coalesce(text, '')) || (text IS NULL)::text AS own FROM conversations
 ), l AS (
-  SELECT conv_id, turn, own, pos, x AS line, length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+  SELECT DISTINCT conv_id, turn, own, pos, x AS line, length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
          trim(regexp_replace(lower(regexp_replace(x, '^(?:[ \t]*>)+', '')), '[ \t\r\f\x0B]+', ' ', 'g'), ' ') AS norm
   FROM (SELECT conv_id, turn, own, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m)
+), s AS (
+  SELECT *, CASE WHEN level = lag(level) OVER w AND norm <> '' AND lag(norm) OVER w <> '' THEN 0 ELSE 1 END AS new
+  FROM l WHERE conv_id IS NOT NULL AND turn IS NOT NULL WINDOW w AS (PARTITION BY conv_id, turn, own ORDER BY pos)
+), g AS (
+  SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, own ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM s
+), h AS (
+  SELECT conv_id, turn, own, run, min(level) AS level, string_agg(norm, ' ' ORDER BY pos) AS passage FROM g WHERE norm <> '' GROUP BY conv_id, turn, own, run
+), o AS (
+  SELECT conv_id, turn, norm AS said FROM g WHERE level = 0 AND norm <> '' UNION SELECT conv_id, turn, passage FROM h WHERE level = 0
+), a AS (
+  SELECT conv_id, turn, norm AS said FROM g WHERE level > 0 AND norm <> '' UNION SELECT conv_id, turn, passage FROM h WHERE level > 0
+), f AS (
+  SELECT a.conv_id, a.turn, a.said, max(o.turn) AS source FROM a JOIN o ON o.conv_id = a.conv_id AND o.said = a.said AND o.turn < a.turn GROUP BY ALL
 ), q AS (
-  SELECT l.conv_id, l.turn, l.own, l.pos, l.level, (SELECT max(o.turn) FROM l o WHERE o.conv_id = l.conv_id AND o.turn < l.turn AND o.level = 0 AND o.norm = l.norm) AS source
-  FROM l WHERE level > 0 AND norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
+  SELECT g.conv_id, g.turn, g.own, g.pos, g.level, coalesce(w.source, p.source) AS source
+  FROM g JOIN h ON h.conv_id = g.conv_id AND h.turn = g.turn AND h.own = g.own AND h.run = g.run
+  LEFT JOIN f w ON w.conv_id = g.conv_id AND w.turn = g.turn AND w.said = h.passage
+  LEFT JOIN f p ON p.conv_id = g.conv_id AND p.turn = g.turn AND p.said = g.norm
+  WHERE g.level > 0 AND g.norm <> ''
 ), c AS (
   SELECT conv_id, turn, own, max(level) AS max_level, count(*) AS n_quoted, count(source) AS n_linked FROM q GROUP BY ALL
 ), v AS (
@@ -84,7 +100,7 @@ WITH RECURSIVE m AS (
   SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM t GROUP BY ALL
 ), u AS (
   SELECT conv_id, turn, own, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level = 0), ''), '\A(?:[ \t\r]*\n)+|(?:\n[ \t\r]*)+\z', '', 'g') AS clean
-  FROM (SELECT DISTINCT * FROM l) GROUP BY ALL
+  FROM l GROUP BY ALL
 )
 SELECT m.conv_id, m.turn, m.role, p.parent::bigint AS parent_turn, coalesce(r.root, m.turn)::bigint AS thread_turn, coalesce(r.depth, 0)::bigint AS depth,
        coalesce(c.max_level, 0)::bigint AS max_level, coalesce(c.n_quoted, 0)::bigint AS n_quoted, coalesce(c.n_linked, 0)::bigint AS n_linked, u.clean AS text

@@ -1,10 +1,12 @@
 """Quotation linking for conversations, in DataFrame functions alone.
 
 A line's quote level is the number of ``>`` it begins with (spaces between them allowed). Its normal form is what
-follows, lower-cased, with white space as single spaces and none at the ends; runs of lines on one level are a passage.
-The hash of each quoted line's normal form is joined to the unquoted lines of earlier turns of its conversation; the
-latest such turn is the line's source. A message's parent is the source that most of its level-1 lines have (the latest
-on ties), so a passage over several lines is one vote for each of them. Messages without a linked quote start a thread.
+follows, lower-cased, with white space as single spaces and none at the ends. A passage is a run of lines on one level without an
+empty one between them; its normal form is that of its lines joined by spaces, so it does not depend on where lines
+were wrapped. The hash of each quoted passage is joined to the passages and lines that earlier turns of its conversation have unquoted;
+the latest such turn is the passage's source and that of all its lines. Lines of a passage without a source (a part
+of what was said, or several parts) are looked for one by one in the same way. A message's parent is the source that most of its level-1 lines
+have (the latest on ties). Messages without a linked quote start a thread.
 
 Threads come from pointer jumps over the parents, each round a written table. ``(conv_id, thread_turn, turn)`` is a reply
 order: a message always stands after the one it replies to. Texts are returned without their quoted lines and without the
@@ -12,7 +14,7 @@ blank lines at their ends. A hot line of a hot conversation is split by blocks o
 inside each block, and the blocks pass on only their latest turn.
 
 Null texts have no lines and stay null; rows with a null conversation or turn are returned and never linked; repeated
-rows are each returned, with the same parent. Empty quotes (``>`` alone) are not counted. Extra columns are
+rows are each returned, with the same parent and counts. Very long texts are taken whole. Empty quotes (``>`` alone) are not counted. Extra columns are
 not read. A conversation's messages with one turn number count as one original.
 """
 
@@ -35,9 +37,15 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARKS, "")), r"[ \t\r\f\x0B]+", " "))
 
 
-def lines_of(text: Column) -> Column:
-    """Array of (level, norm) for each line."""
-    return F.transform(F.split(text, "\n"), lambda x: F.struct(level(x).alias("level"), normal(x).alias("norm")))
+def with_passages(messages: DataFrame) -> DataFrame:
+    """Columns conv_id, turn, own, run, level, norms for each passage: a row a run of lines that are not empty."""
+    lines = messages.select("conv_id", "turn", "own", F.transform(F.split("text", "\n"), lambda x: F.struct(level(x).alias("level"), normal(x).alias("norm"))).alias("lines"))
+    line = lambda i: F.get(F.col("lines"), i)
+    parts = lambda i: (line(i)["level"] != line(i - 1)["level"]) | (line(i)["norm"] == "") | (line(i - 1)["norm"] == "")
+    starts = lines.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.when(i == 0, True).otherwise(parts(i))))
+    runs = F.transform("starts", lambda s, j: F.slice(F.col("lines"), s + 1, F.coalesce(F.get(F.col("starts"), j + 1), F.size("lines")) - s))
+    found = starts.select("conv_id", "turn", "own", F.posexplode(runs).alias("run", "lines"))
+    return found.select("conv_id", "turn", "own", "run", F.col("lines")[0]["level"].alias("level"), F.transform("lines", lambda x: x["norm"]).alias("norms")).filter("norms[0] != ''")
 
 
 def unquoted(text: Column) -> Column:
@@ -47,19 +55,25 @@ def unquoted(text: Column) -> Column:
 
 def linked_lines(messages: DataFrame) -> DataFrame:
     """Columns conv_id, turn, own, level, source for each distinct quoted line of a message, source null if it has none."""
-    lines = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("text").isNotNull()).select("conv_id", "turn", "own", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    lines = lines.select("conv_id", "turn", "own", "at", F.col("line.level").alias("level"), F.col("line.norm").alias("norm"), F.md5("line.norm").alias("hash"), F.floor(F.col("turn") / BLOCK).alias("block")).filter("norm != ''")
-    quoted = lines.filter("level > 0").select("conv_id", "turn", "own", "at", "level", "hash", "block")
-    # only lines that some quote of the conversation repeats go on
-    originals = lines.filter("level = 0").join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").select("conv_id", "turn", "hash", "block").distinct()
-    both = quoted.select("conv_id", "turn", "hash", "block", F.lit(None).cast("bigint").alias("source")).distinct().unionByName(originals.select("conv_id", "turn", "hash", "block", F.col("turn").cast("bigint").alias("source")))
+    own = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("text").isNotNull())
+    passages = written(with_passages(own).withColumn("hash", F.md5(F.array_join("norms", " "))), "passages")
+    block = F.floor(F.col("turn") / BLOCK).alias("block")
+    of_messages = passages.filter("level > 0").dropDuplicates(["conv_id", "turn", "own", "run"])
+    lines = of_messages.select("conv_id", "turn", "own", "run", "level", F.col("hash").alias("whole"), F.posexplode("norms").alias("at", "norm")).withColumn("part", F.md5("norm")).drop("norm")
+    quoted = lines.select("conv_id", "turn", block, F.explode(F.array("whole", "part")).alias("hash")).distinct()
+    # only what some quote of the conversation repeats goes on
+    said = passages.filter("level = 0").select("conv_id", "turn", block, F.explode(F.array_union(F.array("hash"), F.transform("norms", lambda x: F.md5(x)))).alias("hash"))
+    originals = said.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
+    both = quoted.select("conv_id", "turn", "hash", "block", F.lit(None).cast("bigint").alias("source")).unionByName(originals.select("conv_id", "turn", "hash", "block", F.col("turn").cast("bigint").alias("source")))
     before = Window.partitionBy("conv_id", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     inside = both.withColumn("near", F.max("source").over(before)).filter("source is null").select("conv_id", "turn", "hash", "block", "near")
     blocks = both.groupBy("conv_id", "hash", "block").agg(F.max("source").alias("last"))
     earlier = Window.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("conv_id", "hash", "block", F.max("last").over(earlier).alias("far"))
     sources = inside.join(blocks, ["conv_id", "hash", "block"]).select("conv_id", "turn", "hash", F.coalesce("near", "far").alias("source"))
-    return quoted.join(sources, ["conv_id", "turn", "hash"]).select("conv_id", "turn", "own", "at", "level", "source")
+    by = [sources.select("conv_id", "turn", F.col("hash").alias(h), F.col("source").alias(f"of_{h}")) for h in ("whole", "part")]
+    found = lines.join(by[0], ["conv_id", "turn", "whole"]).join(by[1], ["conv_id", "turn", "part"])
+    return found.select("conv_id", "turn", "own", "level", F.coalesce("of_whole", "of_part").alias("source"))
 
 
 def roots(parents: DataFrame) -> DataFrame:

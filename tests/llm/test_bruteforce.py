@@ -389,26 +389,75 @@ def test_pipeline(spark, tmp_path):
 # -- 1 ------------------------------------------------------------------------------------------------------------------
 
 
+def normal_by_hand(line):
+    return re.sub(r"[ \t]+", " ", re.sub(r"^(?:[ \t]*>)+", "", line).lower()).strip()
+
+
+def level_by_hand(line):
+    return re.match(r"(?:[ \t]*>)*", line)[0].count(">")
+
+
+def passages_by_hand(text):
+    """(level, normal lines) of each run of lines on one level."""
+    out, last = [], None
+    for x in text.split("\n"):
+        now = (level_by_hand(x), normal_by_hand(x))
+        if now[1]:
+            if last is None or last[0] != now[0]:
+                out.append((now[0], []))
+            out[-1][1].append(now[1])
+        last = now if now[1] else None
+    return out
+
+
+def links_by_hand(rows):
+    """(parent, thread, depth, linked lines) of each (conv, turn); rows in order of turns."""
+    want = {}
+    for c, t, _, text in rows:
+        said = {}
+        for d, u, _, s in rows:
+            if d == c and u < t:
+                for level, norms in passages_by_hand(s):
+                    if not level:
+                        said |= dict.fromkeys([" ".join(norms), *norms], u)
+        quoted = []
+        for level, norms in passages_by_hand(text):
+            if level:
+                whole = said.get(" ".join(norms))
+                quoted += [(level, said.get(x) if whole is None else whole) for x in norms]
+        votes = Counter(s for n, s in quoted if n == 1 and s is not None)
+        parent = max(votes, key=lambda s: (votes[s], s)) if votes else None
+        root, depth = (want[c, parent][1], want[c, parent][2] + 1) if parent is not None else (t, 0)
+        want[c, t] = (parent, root, depth, sum(s is not None for _, s in quoted))
+    return want
+
+
 def test_quotes_by_hand(spark):
     rng = random.Random(1)
     rows = []
     for c in range(8):
         said = []
         for t in range(12):
-            lines = [f"line {rng.randint(0, 30)}" for _ in range(3)]
+            parts = [[f"line {rng.randint(0, 30)} of  it" for _ in range(rng.randint(1, 3))] for _ in range(2)]
+            lines = [x for part in parts for x in [*part, ""]]
             if said and rng.random() < 0.8:
-                lines = ["> " * rng.randint(1, 2) + rng.choice(said).upper() for _ in range(2)] + lines
-            said += [x for x in lines if x[0] != ">"]
+                marks, part = "> " * rng.randint(1, 2), rng.choice(said)
+                words = " ".join(part).upper().split()
+                match rng.randrange(3):
+                    case 0:  # wrapped anew
+                        lines = [marks + " ".join(words[:2]), marks + " ".join(words[2:]), *lines]
+                    case 1:
+                        lines = [marks + x for x in part] + lines
+                    case 2:
+                        lines = [marks + rng.choice(part), marks + "and more", ">", *lines]
+            said += parts
             rows.append((c, t, "user", "\n".join(lines)))
-    norm = lambda x: re.sub(r"[ \t]+", " ", re.sub(r"^(?:[ \t]*>)+", "", x).lower()).strip()
-    level = lambda x: re.match(r"(?:[ \t]*>)*", x)[0].count(">")
-    want = {}
-    for c, t, _, text in rows:
-        earlier = {norm(x): u for d, u, _, s in rows if d == c and u < t for x in s.split("\n") if level(x) == 0}
-        quoted = [(level(x), earlier.get(norm(x))) for x in text.split("\n") if level(x)]
-        votes = Counter(s for n, s in quoted if n == 1 and s is not None)
-        parent = max(votes, key=lambda s: (votes[s], s)) if votes else None
-        root, depth = (want[c, parent][1], want[c, parent][2] + 1) if parent is not None else (t, 0)
-        want[c, t] = (parent, root, depth, sum(s is not None for _, s in quoted))
     got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
-    assert {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.depth, r.n_linked) for r in got} == want
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.depth, r.n_linked) for r in got} == links_by_hand(rows)
+
+
+def test_passages_before_lines(spark):
+    """A passage that one turn holds whole goes there, though a later turn has one of its lines; a wrapped one is found."""
+    rows = [(1, 0, "user", "thanks\nthe tide turns at nine"), (1, 1, "user", "thanks"), (1, 2, "user", "> Thanks\n> the tide turns at nine\nso it does"), (1, 3, "user", "> so  it\n> does\nwell"), (1, 4, "user", "> thanks\nno worries")]
+    got = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [got[t].parent_turn for t in range(5)] == [None, None, 0, 2, 1] and got[3].text == "well"
