@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -33,19 +35,62 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int | None =
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of our own in the cluster's spark.checkpoint.dir; a local folder only where that is unset and the master is local."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and the master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/foliant/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_OWN: set[str] = set()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in this application's part of the shared folder, which goes when the driver's Python ends."""
+    top = f"{shared_dir(spark)}/foliant-{spark.sparkContext.applicationId}"
+    if top not in _OWN:
+        _OWN.add(top)
+
+        def clean():
+            with contextlib.suppress(Exception):  # the session may be gone already
+                delete(spark, top)
+
+        atexit.register(clean)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: it is computed once and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder, read again: it is computed once, and lineage ends here and survives lost executors.
+
+    The table stays until ``dropped`` or the end of the application: results that are yet to be read may need it.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path:
+            delete(t.sparkSession, path)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

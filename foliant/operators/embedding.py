@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BadVectors
+from .common import fresh
 
 BATCH = 32
 
@@ -44,7 +45,7 @@ class HashingEmbedder:
 
 def embed_column(df: DataFrame, embedder: Embedder, columns: list[str], task: str = "document", to: str = "embedding") -> DataFrame:
     """``df`` with the embedding of its ``columns`` joined by line ends; nulls are left out of a text. One narrow pass."""
-    own = df.withColumn("__text", F.concat_ws("\n", *columns))
+    own = df.withColumn(fresh(df.columns, "joined"), F.concat_ws("\n", *columns))
 
     def run(batches):
         for b in batches:

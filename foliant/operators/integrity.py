@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CategoryDrift, DuplicateKey, ManifestMismatch, OrphanChunks, StaleIndex
+from ..functions.text import terms
 from ..schemas import MANIFEST
 
 
@@ -42,10 +43,14 @@ def with_articles(chunks: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def check_index(chunks: DataFrame, postings: DataFrame) -> None:
-    """Raises if the index has ids that the chunks don't; chunks without any term have no postings."""
+    """Raises if the index has ids that the chunks don't, or lacks a chunk that has a term; others have no postings."""
     stale = orphans(postings.select(F.col("id").alias("chunk_id")), chunks, "chunk_id").orderBy("chunk_id").limit(10).collect()
     if stale:
         raise StaleIndex(f"the index holds ids that the chunks don't: {[r.chunk_id for r in stale]}")
+    worded = chunks.filter(F.size(terms(F.col("text"))) > 0)
+    lost = orphans(worded, postings.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id").orderBy("chunk_id").limit(10).collect()
+    if lost:
+        raise StaleIndex(f"the index lacks chunks: {[r.chunk_id for r in lost]}")
 
 
 def check_categories(chunks: DataFrame, advertised: list[str]) -> list[str]:

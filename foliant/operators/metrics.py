@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import passages, urls
-from .common import ranked
+from .common import fresh, ranked
 
 RECALL_KS = (1, 3, 5, 20, 50)
 
@@ -77,8 +77,9 @@ def misses(results: DataFrame, hits: DataFrame) -> DataFrame:
 
 def collapse(hits: DataFrame, k: int | None = None) -> DataFrame:
     """The best hit of each URL (columns query_id, rank, url, ...), ranked anew and cut to k documents."""
-    own = ranked(hits.withColumn("__key", urls.normalised(F.col("url"))), ["query_id", "__key"], [F.col("rank")], 1, "__first")
-    return ranked(own.withColumnRenamed("rank", "hit_rank"), ["query_id"], [F.col("hit_rank")], k).drop("__key", "__first")
+    key, first = fresh(hits.columns, "url_key"), fresh(hits.columns, "first_of_url")
+    own = ranked(hits.withColumn(key, urls.normalised(F.col("url"))), ["query_id", key], [F.col("rank")], 1, first)
+    return ranked(own.withColumnRenamed("rank", "hit_rank"), ["query_id"], [F.col("hit_rank")], k).drop(key, first)
 
 
 def answer_results(answers: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import passages, urls
 from ..functions.text import unwrap
 from ..schemas import FAILED_REASONS
+from .common import small
 
 SEARCH_TOOL, FETCH_TOOL = "rag_search", "fetch_section"
 #: What an agent says without a source; a reply that holds it is a refusal here.
@@ -96,16 +97,28 @@ def no_coverage(answer: Column) -> Column:
     return F.contains(F.coalesce(answer, F.lit("")), F.lit(NO_COVERAGE_PHRASE))
 
 
+#: Relative rank error of the sketches that bracket a percentile, as a divisor.
+SKETCH = 10_000
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Percentiles by nearest rank (element min(n - 1, floor(f n)) of the sorted values), null values left out.
+    """Percentiles by nearest rank (element min(n - 1, floor(f n)) of the sorted values), null values left out. Exact.
 
-    Places come from a sort and counts, so a group's values are never gathered in one cell.
+    A mergeable sketch brackets each percentile; what lies below a bracket is counted, and only the few values inside it are
+    put in order, equal ones as one row. So no task orders a key's values, however many they are.
     """
-    own = df.filter(F.col(value).isNotNull())
-    window = Window.partitionBy(*keys)
-    placed = own.select(*keys, F.col(value).alias("__v"), (F.row_number().over(window.orderBy(value)) - 1).alias("__i"), F.count("*").over(window).alias("__n"))
-    at = lambda f: F.least(F.col("__n") - 1, F.floor(F.lit(f) * F.col("__n")))
-    return placed.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == at(f), F.col("__v"))).alias(name) for name, f in fractions.items()])
+    own = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    ends = [min(1.0, max(0.0, f + d)) for f in fractions.values() for d in (-3 / SKETCH, 3 / SKETCH)]
+    sketches = own.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, SKETCH).alias("ends"))
+    place = lambda f: F.least(F.col("n") - 1, F.floor(F.lit(f) * F.col("n")))
+    points = F.array(*[F.struct(F.lit(name).alias("point"), place(f).alias("at"), F.col("ends")[2 * i].alias("low"), F.col("ends")[2 * i + 1].alias("high")) for i, (name, f) in enumerate(fractions.items())])
+    brackets = sketches.select(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)], F.explode(points).alias("p"))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{i}")) for i, k in enumerate(keys)]
+    inside = F.when(F.col("v") >= F.col("p.low"), F.col("v")).alias("inside")  # null: below
+    counts = own.join(small(brackets), [*same, F.col("v") <= F.col("p.high")]).groupBy(*keys, "p.point", "p.at", inside).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "point").orderBy(F.asc_nulls_first("inside"))))
+    found = upto.filter(F.col("upto") > F.col("at"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("point") == name, F.col("inside"))).alias(name) for name in fractions])
 
 
 def rate(part: Column, whole: Column) -> Column:

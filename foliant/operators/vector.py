@@ -2,13 +2,15 @@
 
 Vectors are checked and normalised in the JVM. The search itself is one narrow pass: each batch of vectors is multiplied
 with the block of queries, a task keeps the best k of its rows for each query, and only those are ranked together. A
-block of queries is broadcast and holds at most ``BLOCK`` of them; more queries are more blocks, each over all vectors.
-Equal scores are in the order of the ids. Null, empty, not finite or zero vectors raise, or are left out with
+block of queries is broadcast and holds at most ``BLOCK`` of them; each further block is a pass of its own over all vectors, written
+before the next begins, so neither the plan nor the driver grows with the queries (the products are the work, and they do). Equal scores are in the order of the ids. Null, empty, not finite or zero vectors raise, or are left out with
 ``strict=False``.
 """
 
 from __future__ import annotations
 
+from itertools import chain, islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BadVectors
 from ..functions.vectors import fault, unit
-from .common import ranked
+from .common import new_folder, ranked
 
 BLOCK = 2048
 
@@ -45,27 +47,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "i
         vectors = vectors.filter(F.col(category_col) == category)
     own = normalised(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")), strict=strict)
     asked = normalised(queries.select(F.col("query_id").alias("id"), F.col("vector").alias("embedding")), strict=True)
-    parts, rows, kind = [], [], asked.schema["id"].dataType.simpleString()
-    for row in asked.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            parts.append(_best(own, rows, k, kind))
-            rows = []
-    if rows or not parts:
-        parts.append(_best(own, rows, k, kind))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, ["query_id"], [F.desc("score"), F.col("id")], k)
+    kind = asked.schema["id"].dataType.simpleString()
+    blocks = iter(lambda rows=asked.toLocalIterator(): list(islice(rows, block)), [])
+    first, second = next(blocks, []), next(blocks, None)
+    found = _best(own, first, k, kind)
+    if second is not None:
+        folder = new_folder(vectors.sparkSession, "best")
+        for rows in chain([first, second], blocks):
+            _best(own, rows, k, kind).write.mode("append").parquet(folder)
+        found = vectors.sparkSession.read.schema(found.schema).parquet(folder)
+    return ranked(found, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def _best(vectors: DataFrame, rows: list, k: int, kind: str) -> DataFrame:
     """The best k rows of each task for each query of a block."""
-    ids = [r.id for r in rows]
-    matrix = np.array([r.embedding for r in rows], np.float64)
+    shared = vectors.sparkSession.sparkContext.broadcast(([r.id for r in rows], np.array([r.embedding for r in rows], np.float64)))
     own_kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches):
+        ids, matrix = shared.value
         if not ids:
             return
         held: list[list[tuple[float, object]]] = [[] for _ in ids]  # each query's best k so far, as (-score, id)
