@@ -9,8 +9,9 @@ similarity of 0.8, the lowest, simulated pairs miss all buckets in 4 of 100 case
 (README); classes are held together by more than one pair.
 
 Texts with equal words are one node. In each bucket of a sketch, and in the finer buckets of that sketch with the two
-after it, each node is first compared with the bucket's first and last node, and the classes of these edges are found.
-What a bucket leaves undecided, pairs of nodes in different classes, is decided exactly: in buckets of up to
+after it, each node is first compared with the first nodes of its buckets that it shares most buckets with, ``ROOTS`` of
+them, and the classes of these edges are found; then, where a bucket still has several classes, with its first and last node. What
+a bucket leaves undecided, pairs of nodes in different classes, is decided exactly: in buckets of up to
 ``FEW_NODES`` nodes by all their pairs; nodes of more crowded ones by a prefix filter. Two texts with an edge share one of the
 rarest words of each (a fifth of them and one more, in one order of all words), so only nodes that share such a word are compared; this finds
 every edge between nodes of crowded buckets. So each pair that shares a bucket is in one class already, is compared, or is
@@ -36,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import ranked
 from .shared import dropped, fresh, release, slices, words_of, written
 
 K, KEEP, SKETCHES, THRESHOLD = 5, 2, 20, 0.8
@@ -43,6 +45,7 @@ SHORT_K = 3  # words of the k-mers of the second sketches
 FEW, DROPS = 14, 2  # texts of up to FEW words are found by what is left without up to DROPS of them
 LEVELS = (1, 3)
 BINS = 256  # of a word profile
+ROOTS = 3  # first nodes of buckets that a node is compared with before any other
 FEW_NODES = 16  # a bucket of so many nodes has its pairs compared one by one
 COMMON = 1 << 16  # words whose frequency orders prefixes; all others count as rare
 LONG = 5000  # words from which an alignment is first tried by anchors
@@ -349,14 +352,13 @@ def classified(df: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     banded = signed.filter("node is not null").select("node", "size", F.explode("bands").alias("band"))
     # equal texts have equal bands: both sides are one row for each text and band
-    ends = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    both = F.explode(F.array(F.struct(F.col("first").alias("root"), "node"), F.struct(F.col("node").alias("root"), F.col("last").alias("node"))))
-    pairs = written(banded.join(ends, "band").select(both.alias("p")).select("p.*").filter("root < node").distinct(), "candidates")
-    if pairs.isEmpty():
+    ends = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("band", "first")
+    shared = written(banded.join(ends, "band").select("band", "node", size_class("size", threshold).alias("size"), "first").distinct(), "buckets")
+    if shared.isEmpty():
         return rows.join(nodes, "node", "left").select("id", "own", "node", F.col("node").alias("label"), F.col("least").alias("class_id"))
 
     # one row's text for each node that has a candidate: of a row with an id, if there is one
-    wanted = pairs.select(F.explode(F.array("root", "node")).alias("node")).distinct()
+    wanted = shared.select("node").distinct()
     bearer = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("b")).select("node", F.col("b.id").alias("of"), F.col("b.own").alias("own"))
     texts = docs.join(bearer, (docs.own == bearer.own) & docs.id.eqNullSafe(bearer.of)).select("node", "text")
 
@@ -399,22 +401,39 @@ def classified(df: DataFrame, threshold: float, id_col: str, text_col: str) -> D
         dropped(likely)
         return found
 
+    common = shared.filter("first < node").groupBy(F.col("first").alias("root"), "node").agg(F.count("*").alias("n"))
+    pairs = written(ranked(common, ["node"], [F.desc("n"), F.col("root")], ROOTS).select("root", "node"), "candidates")
     edges = compared(pairs)
     labels = components(edges)
-    inner = (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))
-    rest = banded.join(ends, "band").filter(inner).select("band", "node", size_class("size", threshold).alias("size")).distinct()
-    rest = written(rest.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "rest")
-    open_bands = written(rest.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "n"), "open")
-    few = all_pairs(rest.join(open_bands.filter(F.col("n") <= FEW_NODES).select("band"), "band", "left_semi"))
-    crowd = rest.join(open_bands.filter(F.col("n") > FEW_NODES).select("band"), "band", "left_semi").select("node", "label").distinct()
-    crowd = written(texts.join(crowd, "node").select("node", "label", "words"), "crowd")
-    new = few if crowd.isEmpty() else few.union(rare_pairs(crowd, threshold)).distinct()
-    new = written(new.join(pairs, ["root", "node"], "left_anti"), "candidates")
+
+    def undecided():
+        """Buckets of several classes: band, node, size, label, and the bucket's first and last node with their labels."""
+        own = shared.select("band", "node", "size").join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+        own = written(own, "labelled")
+        several = own.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first"), F.max(F.struct("node", "label")).alias("last")).filter("low < high")
+        out = written(own.join(several.select("band", "n", "first", "last"), "band"), "undecided")
+        dropped(own)
+        return out
+
+    rest = undecided()
+    with_ends = rest.select(F.explode(F.array(F.struct(F.col("first.node").alias("root"), F.col("first.label").alias("of"), "node", "label"), F.struct(F.col("node").alias("root"), F.col("label").alias("of"), F.col("last.node").alias("node"), F.col("last.label").alias("label")))).alias("p")).select("p.*")
+    new = written(with_ends.filter("root < node AND of != label").select("root", "node").distinct().join(pairs, ["root", "node"], "left_anti"), "candidates")
     found = compared(new)
+    if not found.isEmpty():
+        dropped(labels, rest)
+        edges, pairs = edges.union(found), pairs.union(new)
+        labels = components(edges)
+        rest = undecided()
+    few = all_pairs(rest.filter(F.col("n") <= FEW_NODES))
+    crowd = rest.filter(F.col("n") > FEW_NODES).select("node", "label").distinct()
+    crowd = written(texts.join(crowd, "node").select("node", "label", "words"), "crowd")
+    last = few if crowd.isEmpty() else few.union(rare_pairs(crowd, threshold)).distinct()
+    last = written(last.join(pairs, ["root", "node"], "left_anti"), "candidates")
+    found = compared(last)
     if not found.isEmpty():
         dropped(labels)
         labels = components(edges.union(found))
-    dropped(pairs, texts, edges, rest, open_bands, crowd, new, found)
+    dropped(shared, texts, rest, crowd, last, found)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("class_id"))
     classes = named.join(least, "label").select("node", "label", "class_id")
