@@ -1,89 +1,28 @@
-"""Shared pieces: the folder that all executors see, written tables, words and bounded sizes."""
+"""Shared pieces: written tables, words and bounded sizes."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import dropped, fresh, written
+
+__all__ = ["BATCH_KEY", "LETTER", "SPACE", "bounded_batches", "crc_mod", "crc_mod_col", "dropped", "fresh", "release", "slices", "small_batches", "width", "words_of", "written"]
+
 #: ASCII white space: what separates the words of most operators here.
 SPACE = " \t\n\r\x0b\x0c"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and the master is local."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="foliant-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-_CLEANED: set[str] = set()
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder; it goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/foliant-{spark.sparkContext.applicationId}"
-    if path not in _CLEANED:
-        _CLEANED.add(path)
-
-        def clean():
-            with contextlib.suppress(Exception):  # the session may be gone already
-                delete(spark, path)
-
-        atexit.register(clean)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage ends here and survives lost executors.
-
-    The table stays until ``dropped`` or the end of the application: results that are yet to be read may need it.
-    """
-    spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_written_at", None)
-        if path:
-            delete(t.sparkSession, path)
-
-
-def fresh(columns: list[str], name: str) -> str:
-    """A column name like ``name`` that none of ``columns`` has, in any case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle; the cluster sizes this setting to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
