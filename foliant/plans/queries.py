@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, passages, text, urls, vectors
-from ..operators import answers, chunking, fusion, integrity, lexical, metrics, rerank, traces, vector
+from ..operators import answers, chunking, fusion, integrity, lexical, metrics, rerank, search, traces, vector
 from ..operators.common import bounded, new_folder, ranked, size_of, small, written
 from ..sources.tables import table
 from ..streaming import events as stream
@@ -96,9 +96,8 @@ d AS (SELECT *, row_number() OVER (PARTITION BY host, key ORDER BY page_id) AS n
 SELECT host, page_id, key AS url, row_number() OVER (PARTITION BY host ORDER BY page_id)::bigint AS rank FROM d WHERE n = 1 QUALIFY rank <= 5""")
 def dedupe_by_url_topk(spark, sf_dir):
     """The first five distinct pages of each host: the best row of each URL, then the best k."""
-    own = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1)).alias("host"), urls.normalised(F.col("url")).alias("url"))
-    first = own.groupBy("host", "url").agg(F.min("page_id").alias("page_id"))
-    return ranked(first, ["host"], [F.col("page_id")], 5).select("host", "page_id", "url", big("rank"))
+    own = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1)).alias("query_id"), "url", F.col("page_id").alias("rank"))
+    return metrics.collapse(own, 5).select(F.col("query_id").alias("host"), "page_id", urls.normalised(F.col("url")).alias("url"), big("rank"))
 
 
 # -- documents ----------------------------------------------------------------------------------------------------------
@@ -175,9 +174,14 @@ def chunk_stats(spark, sf_dir):
 _TERMS = "regexp_extract_all(lower(strip_accents(coalesce({t}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def _bm25(name: str = "bm25", title: str = "''", body: str = "text", weights: tuple[float, float] = (10.0, 1.0), where: str = "true", k: int = 10) -> str:
+_DISTINCT = f"list_distinct({_TERMS.format(t='text')})"
+#: The three shortest words of three letters and more of a whole item, the first by code points of equals.
+_SHORTEST = f"list_transform(list_sort(list_transform(list_filter({_DISTINCT}, lambda x: length(x) >= 3), lambda x: {{'n': length(x), 'x': x}}))[:3], lambda y: y.x)"
+
+
+def _bm25(name: str = "bm25", title: str = "''", body: str = "text", weights: tuple[float, float] = (10.0, 1.0), where: str = "true", k: int = 10, ask: str = _SHORTEST) -> str:
     """Common table expressions whose last, ``name``, has query_id, id, score, rank."""
-    return f"""{name}_q AS (SELECT item_id AS query_id, w, list_filter(w, lambda x, i: list_position(w, x) = i)[:3] AS ts FROM (SELECT item_id, {_TERMS.format(t="text")} AS w FROM benchmark)),
+    return f"""{name}_q AS (SELECT item_id AS query_id, {ask} AS ts FROM benchmark),
 {name}_qt AS (SELECT query_id, len(ts) AS n_phrases, unnest(ts) AS term, generate_subscripts(ts, 1) AS phrase FROM {name}_q),
 {name}_d AS (SELECT doc_id AS id, source, {_TERMS.format(t=title)} AS a, {_TERMS.format(t=body)} AS b FROM documents),
 {name}_s AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS mean FROM {name}_d),
@@ -194,8 +198,10 @@ def _bm25(name: str = "bm25", title: str = "''", body: str = "text", weights: tu
 
 
 def _item_queries(spark, sf_dir) -> DataFrame:
-    """The first three distinct words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.array_distinct(text.terms(F.col("text"))), 1, 3), " ").alias("query"))
+    """The three shortest words of three letters and more of each whole benchmark item: all of them have to stand in a hit."""
+    own = F.filter(F.array_distinct(text.terms(F.col("text"))), lambda x: F.length(x) >= 3)
+    shortest = F.array_sort(F.transform(own, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    return table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.array_join(F.transform(F.slice(shortest, 1, 3), lambda y: y["x"]), " ").alias("query"))
 
 
 def _hits(spark, sf_dir, k: int = 10, **options) -> DataFrame:
@@ -342,7 +348,9 @@ def hybrid_search(spark, sf_dir):
 def hits_hydrated(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars")
     found = _hybrid(spark, sf_dir, 10)
-    return docs.join(_few(spark, sf_dir, found, 10), docs.doc_id == found.id).select("query_id", big("rank"), "doc_id", "source", "lang", F.col("n_chars").alias("full_article_length"), F.round("score", 6).alias("score"))
+    chunks = docs.withColumnRenamed("doc_id", "chunk_id").withColumn("embedding", F.lit(None))
+    own = search.Retriever(chunks).hydrate(found, 10 * size_of(table(spark, sf_dir, "benchmark", "item_id")))
+    return own.select("query_id", big("rank"), F.col("chunk_id").alias("doc_id"), "source", "lang", F.col("n_chars").alias("full_article_length"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_bm25(k=50)}, i AS (SELECT item_id, list_distinct({_TERMS.format(t="text")}) AS q FROM benchmark),
@@ -383,19 +391,21 @@ def incremental_missing(spark, sf_dir):
     return integrity.missing(table(spark, sf_dir, "documents", "doc_id", "lang"), table(spark, sf_dir, "labels", "doc_id"), "doc_id")
 
 
-@query("SELECT doc_id, count(*)::bigint AS n FROM labels GROUP BY doc_id HAVING count(*) > 1")
+@query("SELECT md5(text) AS key, count(*)::bigint AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
-    return integrity.duplicates(table(spark, sf_dir, "labels", "doc_id"), "doc_id")
+    """Texts that stand more than once, by their digests."""
+    return integrity.duplicates(table(spark, sf_dir, "documents", "text").select(F.md5("text").alias("key")), "key")
 
 
 # -- evaluation ---------------------------------------------------------------------------------------------------------
 
-#: A document is what an item expects if it holds the item's first eight words in a row.
+#: A document is what an item expects if it holds any run of eight words of the item (all of them, if it has fewer).
 _SPAN = 8
 _URL = "'https://docs.example.com/' || coalesce(source, 'none') || '/' || doc_id"
-_TRUTH = f"""t_i AS (SELECT item_id, array_to_string({_TERMS.format(t="text")}[:{_SPAN}], ' ') AS span FROM benchmark),
-t_d AS (SELECT doc_id, {_URL} AS url, ' ' || array_to_string({_TERMS.format(t="text")}, ' ') || ' ' AS words FROM documents),
-truth AS (SELECT item_id AS query_id, doc_id, url FROM t_i, t_d WHERE span <> '' AND contains(words, ' ' || span || ' ')),
+_TRUTH = f"""t_w AS (SELECT item_id, {_TERMS.format(t="text")} AS w FROM benchmark), t_i AS (SELECT DISTINCT item_id, least(len(w), {_SPAN}) AS m, array_to_string(w[i : i + least(len(w), {_SPAN}) - 1], ' ') AS span FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {_SPAN - 1}, 1) + 1)) AS i FROM t_w WHERE len(w) > 0)),
+t_t AS (SELECT doc_id, {_URL} AS url, {_TERMS.format(t="text")} AS w FROM documents), t_d AS (SELECT doc_id, url FROM t_t),
+t_r AS (SELECT doc_id, url, m, array_to_string(w[i : i + m - 1], ' ') AS span FROM (SELECT doc_id, url, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM t_t, (SELECT DISTINCT m FROM t_i) WHERE len(w) >= m)),
+truth AS (SELECT DISTINCT item_id AS query_id, doc_id, url FROM t_i JOIN t_r USING (m, span)),
 evalq AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'exact_name' WHEN 1 THEN 'paraphrase' ELSE 'rules_reasoning' END AS type, (SELECT min(split_part(url, '/', 4)) FROM truth WHERE query_id = item_id) AS category FROM benchmark),
 res AS (SELECT q.query_id, q.type, q.category, min(b.rank) AS rank FROM evalq q LEFT JOIN (SELECT b.query_id, b.rank FROM bm25 b JOIN truth t ON t.query_id = b.query_id AND t.doc_id = b.id) b USING (query_id) GROUP BY ALL)"""
 
@@ -404,24 +414,27 @@ def _url() -> Column:
     return F.concat(F.lit("https://docs.example.com/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"))
 
 
-def _run(m: int, i: Column) -> Column:
-    return F.array_join(F.slice("w", i, m), " ")
+def _spans(m: int) -> Column:
+    """Hashes of the runs of m words of ``w``, none if there are fewer."""
+    at = lambda i: F.struct(F.lit(m).alias("m"), F.xxhash64(F.slice("w", i, m)).alias("span"))
+    return F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (m - 1), F.lit(1))), at)).otherwise(F.array().cast("array<struct<m:int,span:bigint>>"))
 
 
 def _eval_queries(spark, sf_dir) -> DataFrame:
-    """Items with their expected URLs: documents are cut into runs of eight words, and only those of an item go on."""
-    items = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.array_join(F.slice(text.terms(F.col("text")), 1, _SPAN), " ").alias("span"))
-    n = F.size(F.split("span", " "))
+    """Items with their expected URLs: runs of eight words are compared as hashes, and only those of an item go on.
+
+    The lengths are those of the items' runs, eight at most. A document's text is cut once, and its runs are exploded and joined as
+    numbers; the items' runs are broadcast behind a check.
+    """
+    items = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", text.terms(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    n = F.least(F.size("w"), F.lit(_SPAN))
+    sizes = sorted(r.n for r in items.select(n.alias("n")).distinct().collect())  # at most _SPAN numbers
+    runs = lambda df, m: df.select("item_id", F.explode(_spans(m)).alias("r")).select("item_id", "r.m", "r.span")
+    asked = [runs(items.filter(n == m), m) for m in sizes] or [items.select("item_id", F.lit(0).alias("m"), F.lit(0).cast("bigint").alias("span"))]
+    wanted = small(reduce(DataFrame.unionByName, asked).distinct())
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", _url().alias("url"), text.terms(F.col("text")).alias("w"))
-    sizes = sorted(r.n for r in items.filter("span != ''").select(n.alias("n")).distinct().collect())  # at most _SPAN numbers
-    parts = []
-    for m in sizes:
-        spans = F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), partial(_run, m))
-        runs = docs.filter(F.size("w") >= m).select("url", F.explode(F.array_distinct(spans)).alias("span"))
-        parts.append(runs.join(small(items.filter((n == m) & (F.col("span") != ""))), "span").select("item_id", "url"))
-    truth = parts[0] if parts else docs.select(F.lit(None).cast("bigint").alias("item_id"), "url").limit(0)
-    for p in parts[1:]:
-        truth = truth.unionByName(p)
+    own = docs.select("url", F.explode(F.concat(*[_spans(m) for m in sizes] or [_spans(_SPAN)])).alias("r")).select("url", "r.m", "r.span")
+    truth = own.join(wanted, ["m", "span"]).select("item_id", "url")
     expected = truth.distinct().groupBy("item_id").agg(F.array_sort(F.collect_set("url")).alias("expected_urls"))
     kind = F.element_at(F.array(F.lit("exact_name"), F.lit("paraphrase"), F.lit("rules_reasoning")), (F.col("item_id") % 3).cast("int") + 1)
     out = table(spark, sf_dir, "benchmark", "item_id", "text").join(expected, "item_id", "left")
@@ -506,7 +519,7 @@ def _prompted(spark, sf_dir, k: int = 3) -> DataFrame:
     return answers.prompts(_item_queries(spark, sf_dir), hits, "{excerpts}\n\nQuestion: {question}")
 
 
-_ITEM_TEXT = f"""array_to_string(list_filter({_TERMS.format(t="text")}, lambda x, i: list_position({_TERMS.format(t="text")}, x) = i)[:3], ' ')"""
+_ITEM_TEXT = f"array_to_string({_SHORTEST}, ' ')"
 
 
 @query(f"WITH {_PROMPTED} SELECT item_id AS query_id, coalesce(n, 0)::bigint AS n_hits, md5(excerpts || chr(10) || chr(10) || 'Question: ' || {_ITEM_TEXT}) AS prompt_md5 FROM benchmark LEFT JOIN x ON item_id = query_id")
@@ -640,6 +653,166 @@ def failure_flags(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "props").select("event_id", passages.is_failure(body).alias("failed"), passages.error_category(body).alias("error_category"))
 
 
+# -- the library's functions over made-up tables of the test data ----------------------------------------------------------
+
+
+@query(f"WITH {_bm25()} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25")
+def bm25_index(spark, sf_dir):
+    """The same search by a written index, read again."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    index = lexical.LexicalIndex.build(docs, "doc_id", "text", category=F.col("source")).write(new_folder(spark, "index"))
+    return _rounded(index.search(_item_queries(spark, sf_dir)))
+
+
+@query(f"WITH {_bm25(ask=_DISTINCT)} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25")
+def bm25_whole_items(spark, sf_dir):
+    """Every word of an item: hits hold them all."""
+    asked = table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.array_join(F.array_distinct(text.terms(F.col("text"))), " ").alias("query"))
+    return _rounded(lexical.search_frame(table(spark, sf_dir, "documents", "doc_id", "text"), asked, "doc_id", "text", 10))
+
+
+@query(f"WITH {_bm25(where=_SRC)} SELECT query_id, chunk_id, round(score, 6) AS score, rank, source AS title FROM (SELECT query_id, id AS chunk_id, score, rank FROM bm25) JOIN documents ON chunk_id = doc_id")
+def retriever_bm25(spark, sf_dir):
+    """Retriever.search over an index, of one category, with the passages' columns."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    index = lexical.LexicalIndex.build(docs, "doc_id", "text", category=F.col("source")).write(new_folder(spark, "index"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.lit(None).alias("embedding"))
+    found = search.Retriever(chunks, index).search(_item_queries(spark, sf_dir), 10, "bm25", "src3")
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), big("rank"), "title")
+
+
+_SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({t}), '[\s\x0B]+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH {_bm25(k=50)}, s AS (SELECT query_id, id, rank AS pool, len(list_intersect({_SPLIT.format(t="b.text")}, {_SPLIT.format(t="coalesce(d.text, '')")})) / greatest(len({_SPLIT.format(t="b.text")}), 1) AS score
+FROM bm25 JOIN benchmark b ON query_id = item_id JOIN documents d ON id = doc_id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool)::bigint AS rank FROM s QUALIFY rank <= 5""")
+def rerank_model(spark, sf_dir):
+    """rerank.rerank with a pluggable scorer over the pool of 50."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = _hits(spark, sf_dir, 50).select("query_id", "id", "rank")
+    pool = docs.join(_few(spark, sf_dir, found, 50), docs.doc_id == found.id).select("query_id", "id", "rank", "text")
+    pool = pool.join(small(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))), "query_id")
+    return _rounded(rerank.rerank(pool, rerank.OverlapReranker(), 5))
+
+
+#: Events as a transcript: views and clicks call a tool, purchases and errors are results, signups are words.
+_TRANSCRIPT = """m AS (SELECT user_id AS run, event_id AS seq, (props->>'k') AS k, event_type AS e FROM events),
+calls AS (SELECT run, k AS id, CASE e WHEN 'view' THEN 'rag_search' ELSE 'fetch_section' END AS tool FROM m WHERE e IN ('view', 'click')),
+results AS (SELECT run, seq, k AS id, CASE e WHEN 'error' THEN '[fatal] no ' || k ELSE 'see https://docs.example.com/' || k || ' and https://docs.example.com/a' END AS content, e = 'error' AS bad FROM m WHERE e IN ('error', 'purchase'))"""
+
+
+def _transcript(spark, sf_dir) -> DataFrame:
+    k, e = F.get_json_object("props", "$.k"), F.col("event_type")
+    call = F.when(e.isin("view", "click"), F.array(F.struct(k.alias("id"), F.when(e == "view", traces.SEARCH_TOOL).otherwise(traces.FETCH_TOOL).alias("name"))))
+    said = F.when(e == "error", F.concat(F.lit("[fatal] no "), k)).when(e == "purchase", F.concat(F.lit("<tool_result>\nsee https://docs.example.com/"), k, F.lit(" and https://docs.example.com/a\n</tool_result>"))).when(e == "signup", F.concat(F.lit("said "), k))
+    role = F.when(e.isin("error", "purchase"), "tool").otherwise("assistant")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), role.alias("role"), said.alias("content"), call.alias("tool_calls"), F.when(role == "tool", k).alias("tool_call_id"))
+
+
+@query(f"""WITH {_TRANSCRIPT}, names AS (SELECT run, id, max(tool) AS tool FROM calls GROUP BY ALL),
+u AS (SELECT run, tool, 1 AS c, 0 AS f FROM calls UNION ALL SELECT r.run, coalesce(tool, 'unknown'), 0, 1 FROM results r LEFT JOIN names n ON n.run = r.run AND n.id = r.id WHERE bad)
+SELECT run, tool, sum(c)::bigint AS called, sum(f)::bigint AS failed FROM u GROUP BY ALL""")
+def transcript_tally(spark, sf_dir):
+    """traces.tool_tally: calls and failed results by tool, results of unknown calls apart."""
+    return traces.tool_tally(_transcript(spark, sf_dir))
+
+
+@query(f"WITH {_TRANSCRIPT} SELECT run, sum(length(content) // 4)::bigint AS tool_tokens FROM results GROUP BY run")
+def transcript_tool_tokens(spark, sf_dir):
+    return traces.tool_tokens(_transcript(spark, sf_dir)).select("run", big("tool_tokens"))
+
+
+@query("SELECT user_id AS run, max(event_id) AS seq, CASE WHEN arg_max(event_type, event_id) IN ('error', 'purchase') THEN 'tool' ELSE 'assistant' END AS role FROM events GROUP BY user_id")
+def transcript_final_messages(spark, sf_dir):
+    return traces.final_messages(_transcript(spark, sf_dir)).select("run", "seq", "role")
+
+
+@query(f"""WITH {_TRANSCRIPT}, u AS (SELECT DISTINCT user_id AS run FROM events), a AS (SELECT run, unnest(['https://docs.example.com/a', 'https://docs.example.com/' || run % 100, 'https://docs.example.com/none']) AS url FROM u),
+k AS (SELECT DISTINCT run, unnest(['https://docs.example.com/a', 'https://docs.example.com/' || id]) AS url FROM results WHERE NOT bad)
+SELECT run, count(*)::bigint AS citations, coalesce(string_agg(a.url, ' ' ORDER BY a.url) FILTER (k.url IS NULL), '') AS ungrounded FROM a LEFT JOIN k USING (run, url) GROUP BY run""")
+def answer_grounding(spark, sf_dir):
+    """traces.grounding: URLs of a run's answer that no tool of the run returned."""
+    runs = table(spark, sf_dir, "events", "user_id").distinct().select(F.col("user_id").alias("run"))
+    said = F.concat(F.lit("From https://docs.example.com/a, https://docs.example.com/"), (F.col("run") % 100).cast("string"), F.lit(" and (https://docs.example.com/none/)."))
+    return traces.grounding(runs.withColumn("text", said), _transcript(spark, sf_dir)).select("run", big("citations"), F.array_join("ungrounded", " ").alias("ungrounded"))
+
+
+@query(f"""WITH {_PAIRS}, h AS (SELECT * FROM p WHERE coalesce(trim(answer), '') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn_no DESC) <= 2),
+s AS (SELECT conv_id, string_agg('user: ' || coalesce(question, '') || chr(10) || 'assistant: ' || CASE WHEN length(answer) > 300 THEN left(answer, 296) || ' […]' ELSE answer END, chr(10) ORDER BY turn_no) AS past, count(*) AS n FROM h GROUP BY conv_id)
+SELECT c.conv_id, (2 + 2 * coalesce(n, 0))::bigint AS n_messages, md5('system: be brief' || chr(10) || coalesce(past || chr(10), '') || 'user: and now?') AS digest FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s USING (conv_id)""")
+def history_replay(spark, sf_dir):
+    """traces.replay: the messages a model is sent after the last two answered turns."""
+    conversations = table(spark, sf_dir, "conversations")
+    past = traces.history(traces.turn_pairs(conversations), last=2, most=300)
+    asked = conversations.select("conv_id").distinct().withColumn("question", F.lit("and now?"))
+    sent = traces.replay(past, asked, "be brief")
+    line = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit(""))))
+    return sent.select("conv_id", big(F.size("messages"), "n_messages"), F.md5(F.array_join(line, "\n")).alias("digest"))
+
+
+_RUN_ROWS = """t AS (SELECT user_id AS run, count(*) FILTER (event_type = 'view')::bigint AS searches, count(*) FILTER (event_type = 'error')::bigint AS searches_failed, count(*) FILTER (event_type = 'click')::bigint AS fetches, count(*) FILTER (event_type = 'signup')::bigint AS fetches_failed,
+  count(*)::bigint AS hops, sum(round(value * 100)::bigint)::double AS seconds, CASE user_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'rules' WHEN 2 THEN 'paraphrase' END AS type, 'q' || user_id % 7 AS question FROM events GROUP BY user_id)"""
+
+
+def _run_rows(spark, sf_dir) -> DataFrame:
+    e = F.col("event_type")
+    own = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count_if(e == "view").alias("searches"), F.count_if(e == "error").alias("searches_failed"), F.count_if(e == "click").alias("fetches"), F.count_if(e == "signup").alias("fetches_failed"), F.count("*").alias("hops"), F.sum(F.round(F.col("value") * 100).cast("bigint")).cast("double").alias("seconds"))
+    kind = F.get(F.array(F.lit("exact"), F.lit("rules"), F.lit("paraphrase")), (F.col("run") % 4).cast("int"))
+    return own.select("*", kind.alias("type"), F.concat(F.lit("q"), (F.col("run") % 7).cast("string")).alias("question"))
+
+
+_BY = """CASE WHEN grouping(kind) = 0 THEN 'type' WHEN grouping(question) = 0 THEN 'question' ELSE 'overall' END AS "grouping", CASE WHEN grouping(kind) = 0 THEN kind WHEN grouping(question) = 0 THEN question END AS key, count(*)::bigint AS n"""
+_SETS = "FROM (SELECT *, coalesce(type, 'untyped') AS kind FROM t) GROUP BY GROUPING SETS ((), (kind), (question))"
+
+
+@query(f"WITH {_RUN_ROWS} SELECT {_BY}, round(avg(hops), 6) AS hops, round(avg(seconds), 6) AS seconds, sum(searches)::bigint AS searches, sum(searches_failed)::bigint AS searches_failed, sum(fetches)::bigint AS fetches, sum(fetches_failed)::bigint AS fetches_failed {_SETS}")
+def loop_report(spark, sf_dir):
+    """traces.report of loop_columns: overall, by type and by question."""
+    return _round_all(traces.report(_run_rows(spark, sf_dir), traces.loop_columns()))
+
+
+@query(f"WITH {_RUN_ROWS} SELECT {_BY}, round(avg((searches > 3)::int::double), 6) AS searched, round(avg(CASE WHEN run % 3 > 0 THEN (run % 3 = 1)::int::double END), 6) AS cited, round(avg((run % 5 = 0)::int::double), 6) AS refused, round(avg((fetches > 4)::int::double), 6) AS fabricated {_SETS}")
+def quality_report(spark, sf_dir):
+    """traces.report of quality_columns; runs without a label count only where no label is needed."""
+    run = F.col("run")
+    own = _run_rows(spark, sf_dir).withColumns({"n_calls": F.greatest(F.col("searches") - 3, F.lit(0)), "expected_hit": F.when(run % 3 > 0, run % 3 == 1), "no_coverage": run % 5 == 0, "ungrounded": F.when(F.col("fetches") > 4, F.array(F.lit("u"))).otherwise(F.array().cast("array<string>"))})
+    return _round_all(traces.report(own, traces.quality_columns()))
+
+
+@query("SELECT lang, source, count(*)::bigint AS n FROM documents GROUP BY ALL")
+def value_count_table(spark, sf_dir):
+    return metrics.value_counts(table(spark, sf_dir, "documents", "lang", "source"), "lang", "source")
+
+
+@query("SELECT doc_id, r AS repeat, lang FROM documents, range(3) t(r)")
+def question_repeats(spark, sf_dir):
+    return traces.repeats(table(spark, sf_dir, "documents", "doc_id", "lang"), 3).select("doc_id", big("repeat"), "lang")
+
+
+@query("SELECT a.doc_id, url, source AS title, n_chars::bigint AS full_article_length FROM labels a JOIN (SELECT doc_id, source, n_chars, 'https://docs.example.com/' || doc_id AS url FROM documents) USING (doc_id)")
+def chunks_with_articles(spark, sf_dir):
+    """integrity.with_articles: a validated left join."""
+    articles = table(spark, sf_dir, "documents", "doc_id", "source", "n_chars").select("doc_id", F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), "n_chars")
+    return integrity.with_articles(table(spark, sf_dir, "labels", "doc_id"), articles).select("doc_id", "url", "title", big("full_article_length"))
+
+
+@query(f"""WITH w AS (SELECT doc_id::text AS doc_id, source AS category, text, left(string_split(text, chr(10))[1], 60) AS title, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, category, md5(title || chr(10) || regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')) AS digest FROM w WHERE len(w) BETWEEN 1 AND 380 AND NOT regexp_matches(text, '(^|\\n)#{{1,6}}[ \\t]')""")
+def chunk_whole_texts(spark, sf_dir):
+    """The texts of passages that are a whole section: documents without headings that are well within the budget."""
+    own = chunking.chunk_articles(_articles(spark, sf_dir), max_tokens=450, overlap=50)
+    few = table(spark, sf_dir, "documents", "doc_id", "text").filter(text.n_tokens(F.col("text")).between(1, 380) & ~F.col("text").rlike(r"(?m)^#{1,6}[ \t]")).select(F.col("doc_id").cast("string").alias("doc_id"))
+    return own.join(few, "doc_id", "left_semi").select("doc_id", "category", F.md5("text").alias("digest"))
+
+
+@query("""SELECT event_id, CASE WHEN value > 300 THEN 'fatal_tool_error' WHEN value > 200 THEN 'wall_clock' ELSE 'answer' END AS reason FROM events WHERE CASE WHEN value > 300 THEN true WHEN value > 200 THEN true ELSE false END""")
+def failed_runs(spark, sf_dir):
+    v = F.col("value")
+    own = table(spark, sf_dir, "events", "event_id", "value").select("event_id", traces.stop_reason((v > 300).cast("int"), F.lit(0), F.when(v > 200, 121.0).otherwise(1.0), F.lit(0), F.lit(0)).alias("reason"))
+    return own.filter(traces.failed(F.col("reason")))
+
+
 # -- streams ------------------------------------------------------------------------------------------------------------
 
 #: A user's events as run events: clicks start a call, views end it, a purchase of k = 99 ends the run.
