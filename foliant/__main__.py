@@ -1,4 +1,4 @@
-"""Command line: build-corpus, search, ask, evaluate and evaluate-answers."""
+"""Command line: discover-urls, build-corpus, search, ask, evaluate and evaluate-answers."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .errors import EngineError
 from .operators import answers, metrics
-from .plans import corpus
+from .plans import corpus, url_rules
 from .session import session
 from .settings import RetrievalSettings
 from .sources import runs, tables
@@ -23,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("html_dir")
     build.add_argument("folder")
     build.add_argument("--base-url", default="https://www.example.com")
+    discover = sub.add_parser("discover-urls")
+    discover.add_argument("sitemaps", help="a folder of sitemap files")
+    discover.add_argument("links", help="where the kept links go")
     for name in ("search", "ask", "evaluate", "evaluate-answers"):
         c = sub.add_parser(name)
         c.add_argument("folder")
@@ -41,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     try:
-        if a.command != "build-corpus":
+        if a.command not in ("build-corpus", "discover-urls"):
             answers.require_positive(k=a.k, fetch_k=a.fetch_k, title_weight=a.title_weight, text_weight=a.text_weight)
         return run(a)
     except EngineError as e:
@@ -56,6 +59,13 @@ def run(a: argparse.Namespace) -> int:
         row = corpus.build(tables.html_folder(spark, a.html_dir), a.folder, a.base_url, settings).first()
         print(f"{row.n_articles} articles, {row.n_chunks} chunks")
         return 0
+    if a.command == "discover-urls":
+        found = tables.sitemap_folder(spark, a.sitemaps)
+        links, counts = url_rules.discover(found, url_rules.SITE_RULES, url_rules.THIRD_PARTY)
+        links.write.mode("overwrite").parquet(a.links)
+        kept = spark.read.parquet(a.links).count()
+        print(f"{found.count()} urls in sitemaps, {kept} kept", *(f"{r.level_1} {r.n}" for r in counts.collect()), sep="\n")  # a row a category
+        return 0
     given = {k: v for k, v in (("title_weight", a.title_weight), ("text_weight", a.text_weight)) if v is not None}
     settings = RetrievalSettings(**{**settings.__dict__, **given})
     retriever = corpus.load(spark, a.folder, settings)

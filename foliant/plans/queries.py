@@ -230,8 +230,13 @@ def _first_line() -> Column:
     return F.get(F.split("text", "\n"), F.lit(0))
 
 
+def _body() -> Column:
+    lines = F.split("text", "\n")
+    return F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+
+
 def _titled(spark, sf_dir, k: int, title_weight: float = 10.0, text_weight: float = 1.0) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source").withColumn("body", F.array_join(F.slice(F.split("text", "\n"), F.lit(2), F.greatest(F.size(F.split("text", "\n")) - 1, F.lit(0))), "\n"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source").withColumn("body", _body())
     return lexical.search_frame(docs, _item_queries(spark, sf_dir), "doc_id", "body", k, title=_first_line(), title_weight=title_weight, text_weight=text_weight)
 
 
@@ -507,6 +512,31 @@ def rrf_weight_sweep(spark, sf_dir):
     return _round_all(results.groupBy("weight").agg(*metrics.summary_columns((1, 3, 5))))
 
 
+#: Title weights that are tried against a text weight of 1.
+TITLE_GRID = (10.0, 7.0, 5.0, 3.0, 2.0, 1.0)
+_BY_TITLE = ", ".join(_bm25(f"w{i}", title=_LINE, body=_REST, weights=(w, 1.0), k=50) for i, w in enumerate(TITLE_GRID))
+_OF_TITLES = " UNION ALL ".join(f"SELECT {w}::double AS title_weight, query_id, id, rank FROM w{i}" for i, w in enumerate(TITLE_GRID))
+
+
+@query(f"""WITH {_BY_TITLE}, bm25 AS (SELECT * FROM w0), {_TRUTH}, u AS ({_OF_TITLES}), g AS (SELECT DISTINCT title_weight FROM u),
+h AS (SELECT u.title_weight, u.query_id, min(u.rank) AS rank FROM u JOIN truth t ON t.query_id = u.query_id AND t.doc_id = u.id GROUP BY ALL)
+SELECT g.title_weight, count(*)::bigint AS n_queries, {_RECALLS.replace("rank", "h.rank")}, round(avg(coalesce(1.0 / h.rank, 0)), 6) AS mrr FROM evalq q CROSS JOIN g LEFT JOIN h ON h.query_id = q.query_id AND h.title_weight = g.title_weight GROUP BY g.title_weight""")
+def title_weight_sweep(spark, sf_dir):
+    """One written index searched by each weight of the grid, six of them."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source").withColumn("body", _body())
+    index = lexical.LexicalIndex.build(docs, "doc_id", "body", title=_first_line()).write(new_folder(spark, "index"))
+    asked = _item_queries(spark, sf_dir)
+    hits = reduce(DataFrame.unionByName, [index.search(asked, 50, title_weight=w, text_weight=1.0).withColumn("title_weight", F.lit(w)) for w in TITLE_GRID])
+    urls_of = table(spark, sf_dir, "documents", "doc_id", "source").select("doc_id", _url().alias("url"))
+    found = urls_of.join(_few(spark, sf_dir, hits, 50 * len(TITLE_GRID)), urls_of.doc_id == hits.id).select("title_weight", "query_id", "rank", "url")
+    expected = _eval_queries(spark, sf_dir)
+    pairs = expected.select("query_id", F.explode("expected_urls").alias("url"))
+    best = found.join(pairs, ["query_id", "url"], "left_semi").groupBy("title_weight", "query_id").agg(F.min("rank").alias("rank"))
+    grid = F.explode(F.array(*[F.lit(w) for w in TITLE_GRID])).alias("title_weight")
+    results = metrics.scored(expected.select("query_id", grid).join(best, ["title_weight", "query_id"], "left"))
+    return _round_all(results.groupBy("title_weight").agg(*metrics.summary_columns()))
+
+
 # -- answers ------------------------------------------------------------------------------------------------------------
 
 _PROMPTED = f"""{_bm25(k=3)}, x AS (SELECT query_id, string_agg('[' || rank || '] ' || coalesce(source, '') || ' — ' || coalesce(lang, '') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS excerpts, count(*) AS n FROM bm25 JOIN documents ON id = doc_id GROUP BY query_id)"""

@@ -42,6 +42,12 @@ def filter_urls(links: DataFrame, rules: dict[str, Rule], banned_words: tuple[st
     return links.filter(kept(F.col(url_col), rules, banned_words))
 
 
+def discover(sitemaps: DataFrame, rules: dict[str, Rule], banned_words: tuple[str, ...] = (), url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+    """The links that a site's rules keep, and how many there are of each first level; raises where a slug could not give a URL back."""
+    links = check_slugs(filter_urls(sitemaps, rules, banned_words, url_col), url_col)
+    return links, links.groupBy(urls.level(F.col(url_col), 1).alias("level_1")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "level_1")
+
+
 def check_slugs(links: DataFrame, url_col: str = "url") -> DataFrame:
     """``links`` itself; raises if a URL holds ``__``, which its slug could not give back."""
     bad = links.filter(F.contains(F.col(url_col), F.lit("__"))).limit(5).collect()

@@ -75,6 +75,11 @@ def sitemap(pages: DataFrame, url_col: str = "url", xml_col: str = "xml") -> Dat
     return found.select("sitemap_page", "url", *[urls.level(F.col("url"), i).alias(f"level_{i}") for i in range(1, urls.LEVELS + 1)])
 
 
+def sitemap_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The links of stored sitemap pages, files named ``...page-<n>.xml``."""
+    return sitemap(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("xml")))
+
+
 def resource(spark: SparkSession, path: str, wanted: list[str] | None = None) -> dict[str, str]:
     """A small file of ``key: value`` lines; blank lines and those from ``#`` on are skipped. A wanted key has to be there."""
     lines = spark.read.text(path).filter((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#")))

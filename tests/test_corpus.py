@@ -6,7 +6,7 @@ import pytest
 
 from foliant.__main__ import main
 from foliant.errors import EngineError
-from foliant.plans import corpus
+from foliant.plans import corpus, url_rules
 from foliant.settings import RetrievalSettings
 from foliant.sources import tables
 
@@ -27,6 +27,15 @@ def built(spark, tmp_path_factory):
     return root, settings, manifest
 
 
+def test_discover_urls(tmp_path, capsys):
+    site = url_rules._SITE
+    pages = ["/traits/faith-traits/birthmark/", "/traits/campaign-traits/other/", "/feats/dodge/", "/feats/3pp/parry/", "/skills/swim/", "/about/"]
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "map-page-3.xml").write_text("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>" + "".join(f"<url><loc>{site}{p}</loc></url>" for p in pages) + "</urlset>")
+    assert main(["discover-urls", str(tmp_path / "maps"), str(tmp_path / "links")]) == 0
+    assert capsys.readouterr().out.split("\n")[:2] == ["6 urls in sitemaps, 3 kept", "feats 1"]
+
+
 def test_build(spark, built):
     root, settings, manifest = built
     assert manifest.n_articles == 3 and manifest.n_chunks == 3
