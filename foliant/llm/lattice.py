@@ -2,12 +2,14 @@
 
 A word's lattice has a node for each character and an edge for each vocabulary piece; a forward recursion in log space
 sums the probabilities of all paths. Pieces never reach across words, so a text's log probability is the sum of its
-words' and of the end's. Pieces come from an existing vocabulary file; their log probabilities are counted over all
-training rows, with one added to each piece. Words meet once in the corpus (``exchange``): counts are exact and each
+words' and of the end's. Pieces come from an existing vocabulary file. That file is one of merges and holds ranks, no unigram
+scores; so the pieces' log probabilities are counted over all training rows, from the file's own cut of each distinct word times the
+word's count, with one added to each piece. Words meet once in the corpus (``exchange``): counts are exact and each
 distinct word is scored once.
 
 Null and empty texts have the end token alone. Rows with a null id count as training rows. Repeated rows count as often
-as they stand there. With no training rows every count is zero and the piece probabilities are equal.
+as they stand there. With no training rows every count is zero and the piece probabilities are equal. Very long texts are
+taken whole; a worker holds a chunk of texts at a time. Columns besides id and text are not read.
 """
 
 from __future__ import annotations

@@ -4,6 +4,9 @@ The encoding of a piece by ranked merges has one last token for each prefix: the
 stays next to the last token of what is left. So a pass over the piece stores the exact token count of each prefix, and
 counts of texts, cuts at a budget and counts of any prefix are sums and look-ups with nothing encoded again. Tables of
 distinct pieces are kept by each worker, in a cache of bounded size.
+
+Null texts count as empty, which have no tokens. Repeated rows are each counted, alike. Very long texts are taken whole, one
+at a time. A table without rows gives none. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import UNEVEN, splitter, unit_text
+from .shared import slices
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -186,7 +190,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
 
     def run(batches):
         own = counter(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             counts = [own.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])

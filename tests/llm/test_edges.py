@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from foliant.llm import bpe, langid, lattice, ordermin, perplexity, quality, quotes, substring, tokens, winnow
 
 JSON, MODEL, RANKS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
@@ -77,6 +78,26 @@ def test_stages_keep_all_columns(spark):
         assert {r.doc_id for r in out.collect()} <= {i for i, _, _ in ROWS}
 
 
+STAGES = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("rows", [[], [(i, t, lang, "s", len(t or "")) for i, t, lang in ROWS]])
+def test_pipeline_edges(spark, tmp_path, rows):
+    """The whole pipeline on an empty table, and on nulls, ties, repeated rows and clashing columns."""
+    df = spark.createDataFrame(rows, STAGES).withColumn("hit_id", F.lit(1)).withColumn("Kept_own", F.lit("x"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert sorted(docs.columns) == sorted(df.columns)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted(r.doc_id or 0 for r in out)
+    # 2, 3, 6, 7 have no letter, 9 is 8's copy, 5 holds the benchmark's item; the row without an id stays
+    assert ids == ([0, 1, 4, 8] if rows else [])
+
+
 def test_empty_benchmark_and_labels(spark):
     docs = documents(spark)
     assert not winnow.contamination(docs, benchmark(spark, [])).filter("contaminated").collect()

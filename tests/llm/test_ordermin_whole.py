@@ -142,3 +142,25 @@ def test_recall_at_the_least_similarity():
         a, b = (set(ordermin.bucket_keys(hashed(" ".join(t))).tolist()) for t in (one, altered(rng, one, 0.2)))
         missed += not a & b
     assert missed < 25
+
+
+def test_recall_on_documents(spark):
+    """Of all pairs of the test documents that align within the threshold, found by brute force, at least nine in ten are in one class."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    hashes = ordermin.Words()
+    own = {}
+    for r in rows:
+        words = ordermin.lowered(r.text)
+        if words:
+            own[r.doc_id] = ordermin.np.array([hashes[w] for w in words], ordermin.np.uint64).astype(ordermin.np.uint32)
+    ids = sorted(own)
+    profiles, sizes = [ordermin.profile(own[i]) for i in ids], [4 * len(own[i]) for i in ids]
+    links = []
+    for k, i in enumerate(ids[:-1]):
+        rest = ids[k + 1 :]
+        ok = ordermin.near_profiles([profiles[k]] * len(rest), profiles[k + 1 :], [sizes[k]] * len(rest), sizes[k + 1 :])
+        links += [(i, rest[j]) for j in ordermin.np.flatnonzero(ok).tolist() if ordermin.similar(own[i], own[rest[j]])]
+    got = {r.doc_id: r.class_id for r in ordermin.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    found = sum(got[a] == got[b] for a, b in links)
+    print(f"{found} of {len(links)} true pairs in one class")
+    assert len(links) > 50 and found >= 0.9 * len(links)
