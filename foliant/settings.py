@@ -1,4 +1,4 @@
-"""Typed settings with their defaults; ``from_env`` reads overrides with a prefix."""
+"""Typed settings with their defaults; ``from_env`` reads overrides with a prefix, from the environment and a ``.env`` file."""
 
 from __future__ import annotations
 
@@ -6,10 +6,29 @@ import os
 from dataclasses import dataclass, fields, replace
 
 
+def env_file(path: str = ".env") -> dict[str, str]:
+    """``NAME=value`` lines of a file, values without their quotes; none if it isn't there. Blank lines and comments are skipped."""
+    out = {}
+    if os.path.isfile(path):
+        with open(path, encoding="utf-8") as f:
+            for line in map(str.strip, f):
+                name, equals, value = line.removeprefix("export ").partition("=")
+                if equals and not line.startswith("#"):
+                    value = value.strip()
+                    quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "'\""
+                    out[name.strip()] = value[1:-1] if quoted else value
+    return out
+
+
+#: Settings that may be 0: each switches something off.
+MAY_BE_ZERO = ("min_body_length", "overlap")
+
+
 class _FromEnv:
     @classmethod
     def from_env(cls, prefix: str, env: dict[str, str] | None = None):
-        env = os.environ if env is None else env
+        """Defaults, then the ``.env`` file of the working directory, then the environment (or ``env`` alone)."""
+        env = env_file() | os.environ if env is None else env
         own = cls()
         found = {}
         for f in fields(own):
@@ -22,7 +41,7 @@ class _FromEnv:
     def __post_init__(self):
         for f in fields(self):
             value = getattr(self, f.name)
-            if not isinstance(value, bool) and isinstance(value, int | float) and value < 0:
+            if not isinstance(value, bool) and isinstance(value, int | float) and (value < 0 or value == 0 and f.name not in MAY_BE_ZERO):
                 raise ValueError(f"{f.name} has to be positive")
 
 
