@@ -9,8 +9,8 @@ similarity of 0.8, the lowest, simulated pairs miss all buckets in 4 of 100 case
 (README); classes are held together by more than one pair.
 
 Texts with equal words are one node. In each bucket of a sketch, and in the finer buckets of that sketch with the two
-after it, each node is first compared with the first nodes of its buckets that it shares most buckets with, ``ROOTS`` of
-them, and the classes of these edges are found; then, where a bucket still has several classes, with its first and last node. What
+after it, each node is first compared with the first node that it shares most buckets with (``ROOTS`` of
+these), and the classes of these edges are found; then, where a bucket still has several classes, with its first and last node. What
 a bucket leaves undecided, pairs of nodes in different classes, is decided exactly: in buckets of up to
 ``FEW_NODES`` nodes by all their pairs; nodes of more crowded ones by a prefix filter. Two texts with an edge share one of the
 rarest words of each (a fifth of them and one more, in one order of all words), so only nodes that share such a word are compared; this finds
@@ -45,7 +45,7 @@ SHORT_K = 3  # words of the k-mers of the second sketches
 FEW, DROPS = 14, 2  # texts of up to FEW words are found by what is left without up to DROPS of them
 LEVELS = (1, 3)
 BINS = 256  # of a word profile
-ROOTS = 3  # first nodes of buckets that a node is compared with before any other
+ROOTS = 1  # first nodes of buckets that a node is compared with before any other: in a large group one is enough, what it misses comes after
 FEW_NODES = 16  # a bucket of so many nodes has its pairs compared one by one
 COMMON = 1 << 16  # words whose frequency orders prefixes; all others count as rare
 LONG = 5000  # words from which an alignment is first tried by anchors
