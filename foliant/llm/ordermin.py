@@ -47,6 +47,7 @@ LEVELS = (1, 3)
 BINS = 256  # of a word profile
 ROOTS = 1  # first nodes of buckets that a node is compared with before any other: in a large group one is enough, what it misses comes after
 FEW_NODES = 16  # a bucket of so many nodes has its pairs compared one by one
+MORE = 4  # further words of a prefix: the more, the fewer pairs are left to compare and the more rows meet
 COMMON = 1 << 16  # words whose frequency orders prefixes; all others count as rare
 LONG = 5000  # words from which an alignment is first tried by anchors
 PIECE = 1 << 14  # k-mers at a time, which bounds a worker's memory
@@ -274,10 +275,12 @@ def all_pairs(rest: DataFrame) -> DataFrame:
 
 
 def rare_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes (crowd: node, label, words) in different classes that share one of the rarest words of each.
+    """Pairs of nodes (crowd: node, label, words) in different classes that may have enough words in common for an edge.
 
     An edit takes one word out of a text at most, so texts with an edge have all but ``(1 - threshold)`` of the longer in common, and
-    in any one order of all words the first ``(1 - threshold)`` of a text and one more hold a common one.
+    in any one order of all words the first ``(1 - threshold)`` of a text and one more hold a common one. ``MORE`` further words of each
+    are looked at: what two texts share there, and all words after the last shared one, is the most that they can have in common.
+    Where one's looked-at words end first, none of its others among them are shared.
     """
 
     def tally(batches):
@@ -290,10 +293,12 @@ def rare_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
     order = np.argsort(common.column("word").to_numpy())
     shared = crowd.sparkSession.sparkContext.broadcast((common.column("word").to_numpy()[order], common.column("n").to_numpy()[order]))  # COMMON numbers
 
+    numbered = ["size", "rank", "cut", "often_last", "token_last"]
+
     def prefixes(batches):
         known, counts = shared.value
         for b in slices(batches, 2, 1 << 20):
-            of, found, sizes = [], [], []
+            of, found, sizes, ranks, cuts, often_last, token_last = [], [], [], [], [], [], []
             for row, raw in enumerate(b.column(2).to_pylist()):
                 words = np.frombuffer(raw, np.uint32).astype(np.int64)
                 place = np.argsort(words, kind="stable")
@@ -304,21 +309,30 @@ def rare_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
                 near = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 often = np.where(known[near] == own, counts[near], 0)
                 token = mixed(own.astype(np.uint64) * STEP + label).view(np.int64)
-                token = token[np.lexsort((token, often))][: int((1 - threshold) * len(own) + 1e-9) + 1]
+                order = np.lexsort((token, often))[: int((1 - threshold) * len(own) + 1e-9) + 1 + MORE]
+                token, often = token[order], often[order]
                 of.append(np.full(len(token), row))
                 found.append(token)
-                sizes.append(np.full(len(token), len(own)))
+                ranks.append(np.arange(1, len(token) + 1))
+                for column, value in ((sizes, len(own)), (cuts, len(token)), (often_last, often[-1]), (token_last, token[-1])):
+                    column.append(np.full(len(token), value, np.int64))
             of = pa.array(np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(sizes))], names=["token", "node", "label", "size"])
+            numbers = [pa.array(np.concatenate(x)) for x in (sizes, ranks, cuts, often_last, token_last)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column(0).take(of), b.column(1).take(of), *numbers], names=["token", "node", "label", *numbered])
         release()
 
-    tokens = written(crowd.mapInArrow(prefixes, "token bigint, node binary, label binary, size bigint"), "tokens")
+    tokens = written(crowd.mapInArrow(prefixes, "token bigint, node binary, label binary, " + ", ".join(f"{c} bigint" for c in numbered)), "tokens")
     mixed_classes = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     tokens = tokens.join(mixed_classes, "token", "left_semi")
-    a, b = (tokens.select("token", F.col("node").alias(n), F.col("label").alias(f"of_{n}"), F.col("size").alias(f"size_{n}")) for n in ("root", "node"))
+    a, b = (tokens.select("token", F.col("node").alias(n), F.col("label").alias(f"of_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in numbered]) for n in ("root", "node"))
     longest = F.greatest("size_root", "size_node")
-    near = F.abs(F.col("size_root") - F.col("size_node")) <= F.floor((1 - threshold) * longest + 1e-9)
-    return a.join(b, "token").filter((F.col("root") < F.col("node")) & (F.col("of_root") != F.col("of_node")) & near).select("root", "node").distinct()
+    most = F.floor((1 - threshold) * longest + 1e-9)
+    near = F.abs(F.col("size_root") - F.col("size_node")) <= most
+    left = {n: (F.col(f"size_{n}") - F.col(f"rank_{n}"), F.col(f"size_{n}") - F.col(f"cut_{n}")) for n in ("root", "node")}  # after this word, after the prefix
+    root_ends = F.struct("often_last_root", "token_last_root") <= F.struct(F.col("often_last_node").alias("often_last_root"), F.col("token_last_node").alias("token_last_root"))
+    after = F.when(root_ends, F.least(left["root"][1], left["node"][0])).otherwise(F.least(left["root"][0], left["node"][1]))
+    met = a.join(b, "token").filter((F.col("root") < F.col("node")) & (F.col("of_root") != F.col("of_node")) & near).select("root", "node", (after - longest + most).alias("spare"))
+    return met.groupBy("root", "node").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).filter("n + spare >= 0").select("root", "node")
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,14 +424,14 @@ def classified(df: DataFrame, threshold: float, id_col: str, text_col: str) -> D
         """Buckets of several classes: band, node, size, label, and the bucket's first and last node with their labels."""
         own = shared.select("band", "node", "size").join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
         own = written(own, "labelled")
-        several = own.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first"), F.max(F.struct("node", "label")).alias("last")).filter("low < high")
+        several = own.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label", "size")).alias("first"), F.max(F.struct("node", "label", "size")).alias("last")).filter("low < high")
         out = written(own.join(several.select("band", "n", "first", "last"), "band"), "undecided")
         dropped(own)
         return out
 
     rest = undecided()
-    with_ends = rest.select(F.explode(F.array(F.struct(F.col("first.node").alias("root"), F.col("first.label").alias("of"), "node", "label"), F.struct(F.col("node").alias("root"), F.col("label").alias("of"), F.col("last.node").alias("node"), F.col("last.label").alias("label")))).alias("p")).select("p.*")
-    new = written(with_ends.filter("root < node AND of != label").select("root", "node").distinct().join(pairs, ["root", "node"], "left_anti"), "candidates")
+    with_ends = rest.select(F.explode(F.array(F.struct(F.col("first.node").alias("root"), F.col("first.label").alias("of"), "node", "label", (F.col("first.size") - F.col("size")).alias("apart")), F.struct(F.col("node").alias("root"), F.col("label").alias("of"), F.col("last.node").alias("node"), F.col("last.label").alias("label"), (F.col("last.size") - F.col("size")).alias("apart")))).alias("p")).select("p.*")
+    new = written(with_ends.filter("root < node AND of != label AND abs(apart) <= 1").select("root", "node").distinct().join(pairs, ["root", "node"], "left_anti"), "candidates")
     found = compared(new)
     if not found.isEmpty():
         dropped(labels, rest)
