@@ -96,13 +96,20 @@ def sketches(h: np.ndarray, k: int = K, seeds: np.ndarray = _SEEDS) -> np.ndarra
     """Order MinHash sketches of a text's word hashes."""
     m = kmers(h, k)
     best_hash, best_at, best_mer = None, None, None
+    rows = np.arange(SKETCHES)
     for start in range(0, len(m), PIECE):
         own = m[start : start + PIECE]
-        x = (own[None, :] * seeds[:, :1]) ^ seeds[:, 1:]
-        x = (x ^ (x >> np.uint64(33))) * MULT
-        n = min(KEEP, x.shape[1])
-        at = np.argpartition(x, n - 1, axis=1)[:, :n] if n < x.shape[1] else np.tile(np.arange(n), (SKETCHES, 1))
-        got = np.take_along_axis(x, at, 1), at + start, own[at]
+        x = own[None, :] * seeds[:, :1]
+        x ^= seeds[:, 1:]
+        x ^= x >> np.uint64(33)
+        x *= MULT
+        least = []
+        for _ in range(min(KEEP, x.shape[1])):  # a few times the least is faster than a partial sort
+            at = x.argmin(1)
+            least.append((at, x[rows, at]))
+            x[rows, at] = np.uint64(2**64 - 1)
+        at = np.stack([a for a, _ in least], 1)
+        got = np.stack([h for _, h in least], 1), at + start, own[at]
         if best_hash is not None:
             got = tuple(np.concatenate(p, 1) for p in zip((best_hash, best_at, best_mer), got, strict=True))
             keep = np.argsort(got[0], axis=1)[:, :KEEP]
@@ -116,15 +123,15 @@ def sketches(h: np.ndarray, k: int = K, seeds: np.ndarray = _SEEDS) -> np.ndarra
 
 
 def bands(s: np.ndarray) -> np.ndarray:
-    """Bucket keys: each sketch alone, and each with the ones after it."""
+    """Bucket keys: each sketch (of the last axis) alone, and each with the ones after it."""
     number = np.arange(SKETCHES, dtype=np.uint64)
     out = []
     for level in LEVELS:
         x = mixed(number + np.uint64(1000 * level))
         for i in range(level):
-            x = mixed(x * STEP + np.roll(s, -i))
+            x = mixed(x * STEP + np.roll(s, -i, -1))
         out.append(x)
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate(out, -1).view(np.int64)
 
 
 def remainders(h: np.ndarray) -> np.ndarray:
@@ -152,9 +159,17 @@ def stays(n: int) -> list[np.ndarray]:
 
 def bucket_keys(h: np.ndarray) -> np.ndarray:
     """All bucket keys of a text: bands of both kinds of sketches, and remainders of short texts."""
-    short = sketches(h, SHORT_K, _SHORT_SEEDS)
-    short = mixed(mixed(np.arange(SKETCHES, dtype=np.uint64) + np.uint64(9000)) * STEP + short)
-    return np.concatenate([bands(sketches(h)), short.view(np.int64), remainders(h).view(np.int64)])
+    return keys_of_all([h])[0]
+
+
+def keys_of_all(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The bucket keys of each text; what follows the sketches is done for all texts at once."""
+    if not texts:
+        return []
+    short = np.stack([sketches(h, SHORT_K, _SHORT_SEEDS) for h in texts])
+    short = mixed(mixed(np.arange(SKETCHES, dtype=np.uint64) + np.uint64(9000)) * STEP + short).view(np.int64)
+    both = np.concatenate([bands(np.stack([sketches(h) for h in texts])), short], 1)
+    return [np.concatenate([b, remainders(h).view(np.int64)]) if len(h) <= FEW else b for b, h in zip(both, texts, strict=True)]
 
 
 def distance(a: list[int], b: list[int], most: int) -> int | None:
@@ -348,16 +363,15 @@ def classified(df: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     def sign(batches):
         hashes = Words()
         for b in slices(batches, 1):
-            keys, keep, sizes = [], [], []
+            keys, found, sizes = [], [], []
             for t in b.column(1).to_pylist():
                 own = lowered(t)
                 sizes.append(len(own))
-                if not own:
-                    keys.append(None)
-                    keep.append(None)
-                    continue
-                keys.append(xxhash.xxh3_128_digest(b" ".join(own)))
-                keep.append(bucket_keys(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))))
+                keys.append(xxhash.xxh3_128_digest(b" ".join(own)) if own else None)
+                if own:
+                    found.append(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)))
+            of_words = iter(keys_of_all(found))
+            keep = [next(of_words) if n else None for n in sizes]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(keep, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "own", "node", "bands", "size"])
         release()
 

@@ -1,4 +1,4 @@
-"""Order MinHash: how much is left to compare in groups of hard pairs."""
+"""Order MinHash: how much is left to compare in groups of hard pairs, and keys of many texts at once."""
 
 import random
 
@@ -26,3 +26,24 @@ def test_pairs_of_texts_that_repeat_one_phrase(spark):
     edges = {(i, j) for i, j in every if ordermin.similar(words[i], words[j])}
     assert len(edges) > 10 and edges <= got
     assert len(got) < 0.5 * len(every)
+
+
+def test_keys_of_many_texts(monkeypatch):
+    """Equal to the definition taken a text at a time, with one call for the bands of all."""
+    rng = random.Random(33)
+    texts = [np.array([rng.randrange(2**63) for _ in range(n)], np.uint64) for n in (1, 2, 3, 4, 5, 6, 14, 15, 60, 300)] + [np.tile(np.arange(7, dtype=np.uint64), 5000)]
+    calls = []
+    plain = ordermin.bands
+    monkeypatch.setattr(ordermin, "bands", lambda s: (calls.append(len(s)), plain(s))[1])
+    got = ordermin.keys_of_all(texts)
+    assert calls == [len(texts)]
+    for h, keys in zip(texts, got, strict=True):
+        assert keys.tolist() == ordermin.bucket_keys(h).tolist()
+        m = ordermin.kmers(h)
+        for i, (mult, flip) in enumerate(ordermin._SEEDS):
+            x = (m * mult) ^ flip
+            x = (x ^ (x >> np.uint64(33))) * ordermin.MULT
+            least = np.zeros(1, np.uint64)
+            for at in sorted(np.argsort(x)[: ordermin.KEEP].tolist()):
+                least = ordermin.mixed(least * ordermin.STEP + m[at])
+            assert least[0] == ordermin.sketches(h)[i]
