@@ -5,7 +5,7 @@ document is the mean of its words; a softmax layer gives the classes. numpy stoc
 a bounded sample: at most ``FIT_ROWS`` labelled rows, taken by hash of the id. The two layers multiply into one number
 for each bucket, so a distinct word is one cached number and a document their mean. Every row is scored on its whole
 text. Null and empty texts have no words and score by the bias alone; with nothing to learn from the score is 0.5.
-Words of over 64 bytes are hashed as wholes, without n-grams.
+n-grams are of code points, of words of any length.
 
 Labels of one id that differ teach nothing; of rows with one id one is learnt from; a null id has no label. Repeated rows are each scored,
 alike. Very long texts are taken whole, one at a time. Columns besides id, text and (of the labels) the label are not read.
@@ -28,12 +28,15 @@ CACHE = 500_000
 
 
 def subwords(word: bytes) -> list[int]:
-    """Buckets of a word and of its n-grams (of bytes, ends marked)."""
-    w = b"<" + word[:64] + b">" + (word[64:] and b"%d" % zlib.crc32(word))
+    """Buckets of a word and of its n-grams (of code points, ends marked)."""
+    w = b"<" + word + b">"
     out = [zlib.crc32(w) % BUCKETS]
-    if len(word) <= 64:
+    if w.isascii():
         n = len(w)
         out += [zlib.crc32(w[i : i + 3]) % BUCKETS for i in range(n - 2)] + [zlib.crc32(w[i : i + 4], 1) % BUCKETS for i in range(n - 3)]
+    else:
+        at = [i for i, c in enumerate(w) if c & 0xC0 != 0x80] + [len(w)]  # where code points start
+        out += [zlib.crc32(w[i:j]) % BUCKETS for i, j in zip(at, at[3:], strict=False)] + [zlib.crc32(w[i:j], 1) % BUCKETS for i, j in zip(at, at[4:], strict=False)]
     return out
 
 
