@@ -13,9 +13,10 @@ after it, each node is first compared with the first node that it shares most bu
 these), and the classes of these edges are found; then, where a bucket still has several classes, with its first and last node. What
 a bucket leaves undecided, pairs of nodes in different classes, is decided exactly: in buckets of up to
 ``FEW_NODES`` nodes by all their pairs; nodes of more crowded ones by a prefix filter. Two texts with an edge share one of the
-rarest words of each (a fifth of them and one more, in one order of all words), so only nodes that share such a word are compared; this finds
+rarest words of each (a fifth of them and one more, in one order of all words), so only nodes that share such a word are looked at, and of
+these pairs only those compared whose shared words leave an edge possible; this finds
 every edge between nodes of crowded buckets. So each pair that shares a bucket is in one class already, is compared, or is
-excluded by a lower bound of its distance (lengths, word profiles, rare words). An edge holds if the words of
+excluded by a lower bound of its distance (lengths, word profiles, shared rare words). An edge holds if the words of
 both align within a band of ``1 - THRESHOLD`` of the longer; classes are the connected components of the edges. Nothing
 of the documents comes to the driver but counts of the ``COMMON`` most frequent words.
 
