@@ -14,7 +14,7 @@ these), and the classes of these edges are found; then, where a bucket still has
 a bucket leaves undecided, pairs of nodes in different classes, is decided exactly: in buckets of up to
 ``FEW_NODES`` nodes by all their pairs; nodes of more crowded ones by a prefix filter. Two texts with an edge share one of the
 rarest words of each (a fifth of them and one more, in one order of all words), so only nodes that share such a word are looked at, and of
-these pairs only those compared whose shared words leave an edge possible; this finds
+these pairs only those go on whose common frequent words, counted exactly, and the places of the shared word leave an edge possible; this finds
 every edge between nodes of crowded buckets. So each pair that shares a bucket is in one class already, is compared, or is
 excluded by a lower bound of its distance (lengths, word profiles, shared rare words). An edge holds if the words of
 both align within a band of ``1 - THRESHOLD`` of the longer; classes are the connected components of the edges. Nothing
@@ -48,7 +48,8 @@ LEVELS = (1, 3)
 BINS = 256  # of a word profile
 ROOTS = 1  # first nodes of buckets that a node is compared with before any other: in a large group one is enough, what it misses comes after
 FEW_NODES = 16  # a bucket of so many nodes has its pairs compared one by one
-MORE = 4  # further words of a prefix: the more, the fewer pairs are left to compare and the more rows meet
+TOP = 512  # tokens that are bits of a map, 64 a column: the more, the fewer pairs meet and the wider their rows
+REPEATS = 4  # of a word's occurrences in a text, those from here on are only counted
 COMMON = 1 << 16  # words whose frequency orders prefixes; all others count as rare
 LONG = 5000  # words from which an alignment is first tried by anchors
 PIECE = 1 << 14  # k-mers at a time, which bounds a worker's memory
@@ -290,65 +291,112 @@ def all_pairs(rest: DataFrame) -> DataFrame:
     return a.join(b, ["band", "size"]).filter((F.col("root") < F.col("node")) & (F.col("of") != F.col("label"))).select("root", "node").distinct()
 
 
+def occurrences(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's words in order of their hash, how many like it came before each, and the place of each."""
+    place = np.argsort(words, kind="stable")
+    own = words[place]
+    first = np.append(True, own[1:] != own[:-1])
+    at = np.arange(len(own))
+    return own, at - np.maximum.accumulate(np.where(first, at, 0)), place
+
+
 def rare_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
     """Pairs of nodes (crowd: node, label, words) in different classes that may have enough words in common for an edge.
 
-    An edit takes one word out of a text at most, so texts with an edge have all but ``(1 - threshold)`` of the longer in common, and
-    in any one order of all words the first ``(1 - threshold)`` of a text and one more hold a common one. ``MORE`` further words of each
-    are looked at: what two texts share there, and all words after the last shared one, is the most that they can have in common.
-    Where one's looked-at words end first, none of its others among them are shared.
+    A token is a word with how many like it came before. Of a longer text with n words and one with m, an edge aligns at least ``n - most``
+    tokens of both, and one more for each word of the other that is put in. The ``TOP`` most frequent tokens are bits of a map, so two texts'
+    common ones are counted as they meet; of tokens from the ``REPEATS``-th of a word on only the number is known, and the lesser counts as common.
+    What is then still needed are ordinary tokens: in any one order of all, the first that both have aligned has no more before it than the text
+    can spare, and its places in both give a lower bound of the words put in. Pairs that need no ordinary token meet at the rarest
+    of the map's tokens that they share; it too is within the first ``most`` and one of each, ordinary tokens first and repeats last.
     """
 
     def tally(batches):
+        """Of each word: how often it stands, and in how many texts at least 1, 2, .. ``REPEATS`` times."""
         for b in slices(batches, 2):
-            words, n = np.unique(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+            found = [occurrences(np.frombuffer(raw, np.uint32))[:2] for raw in b.column(2).to_pylist()]
+            own, label = (np.concatenate(x) for x in zip(*found, strict=True))
+            words, at, n = np.unique(own, return_inverse=True, return_counts=True)
+            low = label < REPEATS
+            held = np.bincount(at[low] * REPEATS + label[low], minlength=len(words) * REPEATS).reshape(-1, REPEATS)
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n, pa.int64()), *[pa.array(held[:, i], pa.int64()) for i in range(REPEATS)]], names=["word", "n", *in_texts])
         release()
 
-    common = crowd.mapInArrow(tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    in_texts = [f"held{i}" for i in range(REPEATS)]
+    common = crowd.mapInArrow(tally, "word bigint, n bigint, " + ", ".join(f"{c} bigint" for c in in_texts)).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *in_texts)]).orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
     order = np.argsort(common.column("word").to_numpy())
-    shared = crowd.sparkSession.sparkContext.broadcast((common.column("word").to_numpy()[order], common.column("n").to_numpy()[order]))  # COMMON numbers
+    known, counts = common.column("word").to_numpy()[order], common.column("n").to_numpy()[order]
+    held = np.stack([common.column(c).to_numpy()[order] for c in in_texts], 1).reshape(-1)
+    top = np.argsort(-held, kind="stable")[:TOP]
+    bit = np.full(len(held), -1, np.int64)  # of each known word's first tokens: its place among the most frequent ones
+    bit[top] = np.arange(len(top))
+    shared = crowd.sparkSession.sparkContext.broadcast((known, counts, bit))  # COMMON numbers, REPEATS times
 
-    numbered = ["size", "rank", "cut", "often_last", "token_last"]
+    maps = [f"map{i}" for i in range(TOP // 64)]
+    rarer = [f"rarer{i}" for i in range(TOP // 64)]  # of a token of the map: the text's map without tokens as frequent
+    numbered = ["size", "after", "ordinary", "repeats", "low", "high", *maps, *rarer]
 
     def prefixes(batches):
-        known, counts = shared.value
+        known, counts, bit = shared.value
         for b in slices(batches, 2, 1 << 20):
-            of, found, sizes, ranks, cuts, often_last, token_last = [], [], [], [], [], [], []
+            of, found, in_map, numbers = [], [], [], []
             for row, raw in enumerate(b.column(2).to_pylist()):
-                words = np.frombuffer(raw, np.uint32).astype(np.int64)
-                place = np.argsort(words, kind="stable")
-                own = words[place]
-                first = np.append(True, own[1:] != own[:-1])
-                at = np.arange(len(own))
-                label = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)  # how many like it came before
+                own, label, place = occurrences(np.frombuffer(raw, np.uint32).astype(np.int64))
+                size = len(own)
+                ends = np.append(own[1:] != own[:-1], True)
+                last = place[ends][np.cumsum(np.append(0, ends[:-1]))]  # the place of the word's last occurrence
                 near = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 often = np.where(known[near] == own, counts[near], 0)
-                token = mixed(own.astype(np.uint64) * STEP + label).view(np.int64)
-                order = np.lexsort((token, often))[: int((1 - threshold) * len(own) + 1e-9) + 1 + MORE]
-                token, often = token[order], often[order]
-                of.append(np.full(len(token), row))
-                found.append(token)
-                ranks.append(np.arange(1, len(token) + 1))
-                for column, value in ((sizes, len(own)), (cuts, len(token)), (often_last, often[-1]), (token_last, token[-1])):
-                    column.append(np.full(len(token), value, np.int64))
+                mapped = np.where((known[near] == own) & (label < REPEATS), bit[near * REPEATS + np.minimum(label, REPEATS - 1)], -1)
+                kind = np.where(label >= REPEATS, 2, np.where(mapped >= 0, 1, 0))
+                token = mixed(own.astype(np.uint64) * STEP + label.astype(np.uint64)).view(np.int64)
+                most = int((1 - threshold) * size + 1e-9)
+                few = np.lexsort((token, np.where(kind == 1, -mapped, often), kind))[: most + 1]
+                rank = np.arange(1, len(few) + 1)
+                ordinary, repeats = int((kind == 0).sum()), int((kind == 2).sum())
+                goes = (kind[few] == 0) | (kind[few] == 1) & (ordinary <= most)  # others need an ordinary token with every text
+                few, rank = few[goes], rank[goes]
+                bits = np.zeros(TOP, bool)
+                bits[mapped[mapped >= 0]] = True
+                whole = np.packbits(bits, bitorder="little").view(np.int64)
+                left = np.zeros((len(few), len(whole)), np.int64)
+                on = np.flatnonzero(kind[few] == 1)
+                left[on] = np.packbits(bits & (np.arange(TOP) > mapped[few[on], None]), axis=1, bitorder="little").view(np.int64)
+                of.append(np.full(len(few), row))
+                found.append(token[few])
+                in_map.append(kind[few] == 1)
+                numbers.append(np.column_stack([np.full(len(few), size), size - rank, ordinary - rank, np.full(len(few), repeats), place[few], last[few], np.tile(whole, (len(few), 1)), left]))
             of = pa.array(np.concatenate(of))
-            numbers = [pa.array(np.concatenate(x)) for x in (sizes, ranks, cuts, often_last, token_last)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column(0).take(of), b.column(1).take(of), *numbers], names=["token", "node", "label", *numbered])
+            columns = np.ascontiguousarray(np.concatenate(numbers).T)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(in_map)), *map(pa.array, columns)], names=["token", "node", "label", "in_map", *numbered])
         release()
 
-    tokens = written(crowd.mapInArrow(prefixes, "token bigint, node binary, label binary, " + ", ".join(f"{c} bigint" for c in numbered)), "tokens")
+    tokens = written(crowd.mapInArrow(prefixes, "token bigint, node binary, label binary, in_map boolean, " + ", ".join(f"{c} bigint" for c in numbered)), "tokens")
     mixed_classes = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    tokens = tokens.join(mixed_classes, "token", "left_semi")
-    a, b = (tokens.select("token", F.col("node").alias(n), F.col("label").alias(f"of_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in numbered]) for n in ("root", "node"))
+
+    def meeting(rows, of_root, of_node, *held):
+        """Rows of nodes in different classes that meet at a token, by what holds for each two of them."""
+        rows = rows.join(mixed_classes, "token", "left_semi")
+        a, b = (rows.select("token", F.col("node").alias(n), F.col("label").alias(f"of_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in own]) for n, own in (("root", of_root), ("node", of_node)))
+        return a.join(b, "token").filter(functools.reduce(lambda x, y: x & y, [F.col("root") < F.col("node"), F.col("of_root") != F.col("of_node"), *held])).select("root", "node")
+
+    def lesser(column):
+        return F.least(f"{column}_root", f"{column}_node")
+
+    def put_in(x, y):
+        """Words of y that x, no shorter, can't have if they align at this token."""
+        return F.greatest(F.lit(0), F.col(f"low_{y}") - F.col(f"high_{x}")) + F.greatest(F.lit(0), F.col(f"size_{y}") - F.col(f"high_{y}") - F.col(f"size_{x}") + F.col(f"low_{x}"))
+
     longest = F.greatest("size_root", "size_node")
-    most = F.floor((1 - threshold) * longest + 1e-9)
-    near = F.abs(F.col("size_root") - F.col("size_node")) <= most
-    left = {n: (F.col(f"size_{n}") - F.col(f"rank_{n}"), F.col(f"size_{n}") - F.col(f"cut_{n}")) for n in ("root", "node")}  # after this word, after the prefix
-    root_ends = F.struct("often_last_root", "token_last_root") <= F.struct(F.col("often_last_node").alias("often_last_root"), F.col("token_last_node").alias("token_last_root"))
-    after = F.when(root_ends, F.least(left["root"][1], left["node"][0])).otherwise(F.least(left["root"][0], left["node"][1]))
-    met = a.join(b, "token").filter((F.col("root") < F.col("node")) & (F.col("of_root") != F.col("of_node")) & near).select("root", "node", (after - longest + most).alias("spare"))
-    return met.groupBy("root", "node").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).filter("n + spare >= 0").select("root", "node")
+    least = longest - F.floor((1 - threshold) * longest + 1e-9)  # tokens that an edge aligns
+    more = F.when(F.col("size_root") >= F.col("size_node"), put_in("root", "node")).otherwise(put_in("node", "root"))
+    known_common = sum((F.bit_count(F.col(f"{m}_root").bitwiseAND(F.col(f"{m}_node"))) for m in maps), lesser("repeats"))
+    near = lesser("size") >= least
+    plain = [*numbered[:6], *maps]
+    ordinary = meeting(tokens.filter("not in_map"), plain, plain, near, lesser("after") + 1 - more >= least, lesser("ordinary") + 1 - more + known_common >= least)
+    rarest = [F.col(f"{r}_root").bitwiseAND(F.col(f"{m}_node")) == 0 for r, m in zip(rarer, maps, strict=True)]
+    mapped = meeting(tokens.filter("in_map"), ["size", "repeats", *maps, *rarer], ["size", "repeats", *maps], near, *rarest, known_common >= least)
+    return ordinary.union(mapped).distinct()
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
