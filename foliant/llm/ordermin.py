@@ -372,11 +372,13 @@ def rare_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
         release()
 
     tokens = written(crowd.mapInArrow(prefixes, "token bigint, node binary, label binary, in_map boolean, " + ", ".join(f"{c} bigint" for c in numbered)), "tokens")
-    mixed_classes = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    plain = [*numbered[:6], *maps]
+    others = tokens.filter("not in_map").select("token", "node", "label", *plain)
+    mixed_classes = others.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    others = written(others.join(mixed_classes, "token", "left_semi"), "meeting")  # once for both sides; tokens of the map are in many classes
 
     def meeting(rows, of_root, of_node, *held):
         """Rows of nodes in different classes that meet at a token, by what holds for each two of them."""
-        rows = rows.join(mixed_classes, "token", "left_semi")
         a, b = (rows.select("token", F.col("node").alias(n), F.col("label").alias(f"of_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in own]) for n, own in (("root", of_root), ("node", of_node)))
         return a.join(b, "token").filter(functools.reduce(lambda x, y: x & y, [F.col("root") < F.col("node"), F.col("of_root") != F.col("of_node"), *held])).select("root", "node")
 
@@ -392,8 +394,7 @@ def rare_pairs(crowd: DataFrame, threshold: float) -> DataFrame:
     more = F.when(F.col("size_root") >= F.col("size_node"), put_in("root", "node")).otherwise(put_in("node", "root"))
     known_common = sum((F.bit_count(F.col(f"{m}_root").bitwiseAND(F.col(f"{m}_node"))) for m in maps), lesser("repeats"))
     near = lesser("size") >= least
-    plain = [*numbered[:6], *maps]
-    ordinary = meeting(tokens.filter("not in_map"), plain, plain, near, lesser("after") + 1 - more >= least, lesser("ordinary") + 1 - more + known_common >= least)
+    ordinary = meeting(others, plain, plain, near, lesser("after") + 1 - more >= least, lesser("ordinary") + 1 - more + known_common >= least)
     rarest = [F.col(f"{r}_root").bitwiseAND(F.col(f"{m}_node")) == 0 for r, m in zip(rarer, maps, strict=True)]
     mapped = meeting(tokens.filter("in_map"), ["size", "repeats", *maps, *rarer], ["size", "repeats", *maps], near, *rarest, known_common >= least)
     return ordinary.union(mapped).distinct()
