@@ -1,9 +1,11 @@
 """Lexical search: BM25 over a title and a text, all words of a query required.
 
 The index is three tables: ``postings`` (a row for each term and passage, with its counts, its places, and the passage's
-length and category), ``terms`` (document frequencies) and ``stats`` (one row). A batch of queries is one plan: its terms
-are joined to the postings, so only postings of those terms are read, and scores are summed for each query and passage.
-``search_frame`` does the same without an index: one pass over the texts keeps only the words that some query has.
+length and category), ``terms`` (document frequencies) and ``stats`` (one row). A batch of queries is one plan: the
+postings of its terms are gathered for each passage, and a passage is matched with all queries where it is (``postings``).
+``search_frame`` does the same without an index: one narrow pass over the texts counts only the words that some query has.
+
+Phrases, more terms than are broadcast, and ids that aren't unique go by joins instead, with equal results.
 
 Scores are negative, the best first; equal scores are in the order of the ids. Statistics are of the whole corpus also
 under a category filter. A query word that the index cuts in several terms is a phrase: its terms must stand in a row in
@@ -13,12 +15,15 @@ one column. Words that have no term are ignored; a query of none has no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.text import phrases, terms
-from .common import bounded, ranked, written
+from . import postings as arrow
+from .common import BROADCAST_ROWS, bounded, dropped, ranked, written
 
 K1, B = 1.2, 0.75
 #: What an inverse document frequency is at least.
@@ -108,19 +113,73 @@ def extent(asked: DataFrame) -> tuple[int, bool]:
     return row.n, (row.most or 0) > 1
 
 
+@dataclass(frozen=True)
+class Block:
+    """Queries in the driver, up to ``BROADCAST_ROWS`` words: their ids, each one's words in order as places in ``words``."""
+
+    ids: list
+    asked: list[list[int]]
+    words: list[str]
+    id_type: DataType
+
+    @classmethod
+    def of(cls, asked: DataFrame) -> Block | None:
+        """None if the words are too many, a phrase has several terms, or query ids aren't unique."""
+        rows = asked.select("query_id", "phrase", "n_terms", "term").limit(BROADCAST_ROWS + 1).collect()
+        words = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+        own: dict = {}
+        for r in rows:
+            own.setdefault(r.query_id, {})[r.phrase] = words[r.term]
+        if len(rows) > BROADCAST_ROWS or any(r.n_terms > 1 for r in rows) or sum(map(len, own.values())) < len(rows):
+            return None
+        return cls(list(own), [[p[i] for i in sorted(p)] for p in own.values()], list(words), asked.schema["query_id"].dataType)
+
+    def best(self, counts: DataFrame, frequencies: DataFrame, stats: Row, weights: list[tuple[float, float]], k: int | None, category: str | None) -> DataFrame:
+        """Columns query_id, of, id, score, rank from counts of passages and document frequencies (code, df) of the words."""
+        idf = [0.0] * len(self.words)
+        for r in frequencies.select("code", inverse_frequency(F.lit(stats.n)).alias("idf")).collect():
+            idf[r.code] = r.idf
+        if category is not None:
+            counts = counts.filter(F.col("category") == category)
+        found = arrow.best(counts, self.ids, self.asked, idf, stats.mean_length or 1.0, weights, k, K1, B, self.id_type)
+        return ranked(found.select("query_id", "of", "id", "score"), ["query_id", "of"], [F.col("score"), F.col("id")], k)
+
+
+def unique(passages: DataFrame, n: int) -> bool:
+    return passages.select("id").distinct().count() == n
+
+
 def search_frame(df: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int | None = 10, title: Column | None = None, category_col: Column | None = None, category: str | None = None, hyphen: bool = False, title_weight: float = TITLE_WEIGHT, text_weight: float = TEXT_WEIGHT) -> DataFrame:
-    """Search passages that have no index; columns query_id, id, score, rank.
+    """Search passages that have no index; columns query_id, id, score, rank."""
+    return search_weights(df, queries, id_col, text_col, [(title_weight, text_weight)], k, title, category_col, category, hyphen).drop("of")
 
-    The postings of the queries' terms, and a posting ``ANY`` of each passage for the statistics, are a written table: the
-    texts are read once.
+
+def search_weights(df: DataFrame, queries: DataFrame, id_col: str, text_col: str, weights: list[tuple[float, float]], k: int | None = 10, title: Column | None = None, category_col: Column | None = None, category: str | None = None, hyphen: bool = False) -> DataFrame:
+    """Search passages that have no index by each of some weights (title, text); columns query_id, of (the place of the weights), id, score, rank.
+
+    The counts of the queries' words in each passage, and its length, are a written table: the texts are read once.
     """
     docs = tokenised(df, id_col, text_col, title, category_col, hyphen)
     asked = query_terms(queries, hyphen)
+    block = Block.of(asked)
+    if block is not None:
+        counts = written(arrow.counted(docs, block.words), "counts")
+        stats = statistics(counts).first()
+        if unique(counts, stats.n):
+            return block.best(counts, counts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df")), stats, weights, k, category)
+        dropped(counts)
     n_asked, places = extent(asked)
     wanted = asked.select("term").union(df.sparkSession.range(1).select(F.lit(ANY)))
     own = written(post(docs, wanted, places, n_asked + 1), "postings")
     postings, stats = own.filter(F.col("term") != ANY), statistics(own.filter(F.col("term") == ANY))
-    return _scored(postings, asked, n_asked, postings.groupBy("term").agg(F.count("*").alias("df")), stats, k, category, title_weight, text_weight, places)
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    each = [_scored(postings, asked, n_asked, frequencies, stats, k, category, *w, places).withColumn("of", F.lit(i)) for i, w in enumerate(weights)]
+    return reduce(DataFrame.unionByName, each).select("query_id", "of", "id", "score", "rank")
+
+
+def inverse_frequency(n: Column) -> Column:
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
 
 
 def _scored(postings: DataFrame, asked: DataFrame, n_asked: int, frequencies: DataFrame, stats: DataFrame, k: int | None, category: str | None, title_weight: float, text_weight: float, places: bool) -> DataFrame:
@@ -130,9 +189,7 @@ def _scored(postings: DataFrame, asked: DataFrame, n_asked: int, frequencies: Da
     found = postings.join(bounded(one, n_asked), "term").select(*keys, "n_title", "n_text", "df")
     if places:
         found = found.unionByName(_phrases(postings, asked.filter("n_terms > 1"), n_asked, keys))
-    n, mean = F.col("n"), F.col("mean_length")
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
+    mean, idf = F.col("mean_length"), inverse_frequency(F.col("n"))
     f = title_weight * F.col("n_title") + text_weight * F.col("n_text")
     part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / mean))
     if category is not None:
