@@ -40,6 +40,13 @@ def hits(df):
     return sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
 
 
+def test_no_row_of_a_query_and_a_passage_is_shuffled(spark):
+    """400 queries of common words, of which few passages hold all: by joins each passage met each query that it shares a word with."""
+    df, many = passages(spark), asked(spark, 400, 25)
+    assert len(hits(search_frame(df, many, "id", "text", 5))) < 100
+    assert cost(spark, lambda: search_frame(df, many, "id", "text", 5).collect()) < 100_000
+
+
 @pytest.mark.parametrize("category", [None, "a"])
 def test_joins_give_the_same(spark, tmp_path, monkeypatch, category):
     df, queries = passages(spark), asked(spark, 40, 2).unionByName(spark.createDataFrame([(90, "w1 w1"), (91, "w2 none"), (92, ""), (None, "w3 w4 w5")], "query_id bigint, query string"))
