@@ -69,20 +69,44 @@ class LexicalIndex:
     terms: DataFrame
     stats: DataFrame
     hyphen: bool = False
+    #: What it is built from; none if it was read.
+    docs: DataFrame | None = None
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str, text_col: str, title: Column | None = None, category: Column | None = None, hyphen: bool = False) -> LexicalIndex:
         docs = tokenised(df, id_col, text_col, title, category, hyphen)
         postings = post(docs)
-        return cls(postings, postings.groupBy("term").agg(F.count("*").alias("df")), statistics(docs), hyphen)
+        return cls(postings, postings.groupBy("term").agg(F.count("*").alias("df")), statistics(docs), hyphen, docs)
 
     def write(self, path: str) -> LexicalIndex:
-        """Replace the index at ``path``. Postings are dealt by ranges of (term, id) and sorted: a frequent term spreads over
-        many files, and a query's terms skip all row groups that don't hold them."""
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Replace the index at ``path``. Postings are dealt by ranges of terms and sorted by term: a frequent term spreads over
+        many files, and a query's terms skip all row groups that don't hold them.
+
+        Passages are cut into terms once. What is shuffled are packed segments, each with the postings of a batch of passages for a
+        range of terms, so ranges of neighbouring files overlap by a segment.
+        """
         spark = self.postings.sparkSession
+        if self.docs is None:
+            return self._write(path, self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), self.stats)
+        segments = written(arrow.packed(self.docs, ANY), "segments")
+        category = arrow.kind(self.docs, "category")
+        passages = arrow.unpacked(segments.filter(F.col("first") == ANY), category).select(F.inline(F.arrays_zip("id", "length")).alias("id", "length"))
+        counted = statistics(passages).first()
+        stats = spark.createDataFrame([tuple(counted)], "n bigint, mean_length double")
+        if unique(passages, counted.n):
+            dealt = segments.filter(F.col("first") != ANY).repartitionByRange("first", "first_id")
+            rows = arrow.postings(arrow.unpacked(dealt, category).sortWithinPartitions("term", F.get("id", F.lit(0))))
+        else:
+            rows = self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        out = self._write(path, rows, stats)
+        dropped(segments)
+        return out
+
+    def _write(self, path: str, rows: DataFrame, stats: DataFrame) -> LexicalIndex:
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
         spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.withColumn("hyphen", F.lit(self.hyphen)).write.mode("overwrite").parquet(f"{path}/stats")
+        stats.withColumn("hyphen", F.lit(self.hyphen)).write.mode("overwrite").parquet(f"{path}/stats")
         return LexicalIndex.read(spark, path)
 
     @classmethod

@@ -117,6 +117,83 @@ def best(counts: DataFrame, ids: list, asked: list[list[int]], idf: list[float],
     return counts.select("id", "length", "codes", "n_title", "n_text").mapInArrow(run, f"query_id {query_type.simpleString()}, id {kind(counts, 'id')}, score double, of int")
 
 
+#: Postings of a packed segment, and what stands beside each term in it. Numbers are stored by the places of their bytes, which pack best.
+SEGMENT = 4096
+LISTS = ["id", "category", "length", "n_title", "n_text", "at"]
+SPLIT = {f"{c}.list.element": "BYTE_STREAM_SPLIT" for c in ("length", "n_title", "n_text", "at.list.element")}
+
+
+def packed(docs: DataFrame, every: str) -> DataFrame:
+    """Columns first, first_id and packed: the postings of a batch of passages by term, cut in the order of the terms into
+    segments of about ``SEGMENT`` postings, each a small Parquet file. Segments with first ``every`` have all passages, without places. Narrow.
+
+    Postings of a term are in the order of the ids, the places of each ascending.
+    """
+
+    def segment(rows: pa.RecordBatch) -> bytes:
+        out, split = pa.BufferOutputStream(), SPLIT | ({"id.list.element": "BYTE_STREAM_SPLIT"} if pa.types.is_integer(rows.schema.field("id").type.value_type) else {})
+        pq.write_table(pa.Table.from_batches([rows]), out, compression="zstd", use_dictionary=["category.list.element"], column_encoding=split, write_statistics=False)
+        return out.getvalue().to_pybytes()
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            b = b.take(pc.sort_indices(b.column(0), null_placement="at_start"))
+            (title_row, title_n), (text_row, text_n) = rows_of(b.column(2)), rows_of(b.column(3))
+            place = lambda sizes: np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            coded = pa.concat_arrays([b.column(2).flatten(), b.column(3).flatten()]).dictionary_encode()
+            by_term = pc.sort_indices(coded.dictionary)
+            rank = np.empty(len(by_term), np.int64)
+            rank[by_term.to_numpy()] = np.arange(len(by_term))
+            code = rank[coded.indices.to_numpy(zero_copy_only=False)]
+            # places in the text count down from -1, so the text goes backwards, then the title
+            code = np.concatenate([code[len(title_row) :][::-1], code[: len(title_row)]])
+            key = code * n + np.concatenate([text_row[::-1], title_row])
+            at = np.concatenate([-1 - place(text_n)[::-1], place(title_n)])
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))  # of the postings
+            ends = np.append(starts, len(key))
+            below = np.concatenate([[0], np.cumsum(at < 0)])
+            n_text = below[ends[1:]] - below[ends[:-1]]
+            row, term = key[starts] % n, key[starts] // n
+            offsets = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))  # of the terms
+            length = pa.array(title_n + text_n, pa.int32())
+
+            def rows(terms, offsets, row, n_title, n_text, ends, at, b=b, length=length):
+                own = [b.column(0).take(row), b.column(1).take(row), length.take(row), pa.array(n_title, pa.int32()), pa.array(n_text, pa.int32()), listed(ends, at)]
+                return pa.RecordBatch.from_arrays([terms, *(listed(offsets, x) for x in own)], names=["term", *LISTS])
+
+            none = np.zeros(n, np.int64)
+            parts = [rows(pa.array([every]), np.array([0, n]), pa.array(np.arange(n)), none, none, np.zeros(n + 1, np.int64), none[:0])]
+            if len(term):
+                every_term = rows(coded.dictionary.take(by_term), offsets, pa.array(row), np.diff(ends) - n_text, n_text, ends, at)
+                cuts = np.append(np.flatnonzero(np.diff(offsets[:-1] // SEGMENT, prepend=-1)), len(offsets) - 1)
+                parts += [every_term.slice(i, j - i) for i, j in zip(cuts, cuts[1:])]
+            firsts = pa.array([p.column(0)[0].as_py() for p in parts]), pa.concat_arrays([p.column(1).slice(0, 1).flatten().slice(0, 1) for p in parts])
+            yield pa.RecordBatch.from_arrays([*firsts, pa.array([segment(p) for p in parts], pa.binary())], names=["first", "first_id", "packed"])
+
+    return docs.select("id", "category", "of_title", "of_text").mapInArrow(run, f"first string, first_id {kind(docs, 'id')}, packed binary")
+
+
+def unpacked(segments: DataFrame, category_kind: str) -> DataFrame:
+    """Columns term and lists id, category, length, n_title, n_text, at of packed segments, a row each term. Narrow."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0):
+                yield from pq.read_table(pa.BufferReader(x.as_buffer()), use_threads=False).to_batches()
+
+    return segments.select("packed").mapInArrow(run, f"term string, id array<{kind(segments, 'first_id')}>, category array<{category_kind}>, length array<int>, n_title array<int>, n_text array<int>, at array<array<int>>")
+
+
+def postings(lists: DataFrame) -> DataFrame:
+    """A row each posting."""
+    return lists.select("term", F.inline(F.arrays_zip(*LISTS)).alias(*LISTS))
+
+
 def runs_held(docs: DataFrame, ids: list, items: list[list[str]], most: int, id_type: DataType) -> DataFrame:
     """Columns item_id and url of the documents (url, w: words) that hold a run of ``most`` words of an item, or all of a shorter one; may repeat. Narrow.
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import lexical
+from foliant.operators import lexical, postings
 from foliant.operators.lexical import LexicalIndex, post, search_frame, search_weights, tokenised
 from foliant.plans import queries as plans
 
@@ -47,6 +47,12 @@ def test_no_row_of_a_query_and_a_passage_is_shuffled(spark):
     assert cost(spark, lambda: search_frame(df, many, "id", "text", 5).collect()) < 100_000
 
 
+def test_index_shuffles_packed_postings(spark, tmp_path):
+    df = passages(spark, 2000)
+    n = post(tokenised(df, "id", "text", F.col("title"))).count()
+    assert cost(spark, lambda: LexicalIndex.build(df, "id", "text", F.col("title"), F.col("kind")).write(str(tmp_path))) < 14 * n
+
+
 @pytest.mark.parametrize("category", [None, "a"])
 def test_joins_give_the_same(spark, tmp_path, monkeypatch, category):
     df, queries = passages(spark), asked(spark, 40, 2).unionByName(spark.createDataFrame([(90, "w1 w1"), (91, "w2 none"), (92, ""), (None, "w3 w4 w5")], "query_id bigint, query string"))
@@ -85,6 +91,26 @@ def test_sweep_of_title_weights_shuffles_little(spark, sf):
     assert cost(spark, lambda: plans.title_weight_sweep(spark, sf).collect()) < 0.5 * text
 
 
+def test_written_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SEGMENT", 50)
+    df = passages(spark, 300)
+    built = LexicalIndex.build(df, "id", "text", F.col("title"), F.col("kind"))
+    index, own = built.write(str(tmp_path)), lambda x: sorted(map(str, x.collect()))
+    names = built.postings.columns
+    assert own(index.postings.select(names)) == own(built.postings) and index.postings.select(names).dtypes == built.postings.dtypes
+    assert own(index.terms) == own(built.terms) and own(index.stats) == own(built.stats)
+    again = index.write(str(tmp_path / "again"))
+    assert own(again.postings.select(names)) == own(built.postings)
+
+
+def test_string_ids_and_nothing(spark, tmp_path):
+    df = passages(spark, 40).withColumn("id", F.concat(F.lit("é"), F.col("id").cast("string")))
+    built = LexicalIndex.build(df, "id", "text")
+    assert sorted(map(str, built.write(str(tmp_path / "a")).postings.select(built.postings.columns).collect())) == sorted(map(str, built.postings.collect()))
+    none = LexicalIndex.build(df.limit(0), "id", "text").write(str(tmp_path / "b"))
+    assert none.postings.count() == 0 and none.search(asked(spark, 3), 5).collect() == []
+
+
 def test_runs_held(spark, monkeypatch):
     rng = random.Random(2)
     texts = [rng.choices("abcd", k=rng.randint(0, 60)) for _ in range(80)]
