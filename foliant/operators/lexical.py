@@ -117,6 +117,12 @@ class LexicalIndex:
     def search(self, queries: DataFrame, k: int | None = 10, category: str | None = None, title_weight: float = TITLE_WEIGHT, text_weight: float = TEXT_WEIGHT) -> DataFrame:
         """Columns query_id, id, score, rank for queries (query_id, query)."""
         asked = query_terms(queries, self.hyphen)
+        block = Block.of(asked)
+        if block is not None:
+            coded = bounded(self.postings.sparkSession.createDataFrame(list(enumerate(block.words)), "code int, term string"), len(block.words))
+            own = self.postings.join(coded, "term").groupBy("id", "category", "length").agg(F.collect_list(F.struct("code", "n_title", "n_text")).alias("w"))
+            counts = own.select("id", "category", "length", F.col("w.code").alias("codes"), "w.n_title", "w.n_text")
+            return block.best(counts, self.terms.join(coded, "term").select("code", "df"), self.stats.first(), [(title_weight, text_weight)], k, category).drop("of")
         n_asked, places = extent(asked)
         wanted = asked.select("term").distinct()
         found = self.postings.join(bounded(wanted, n_asked), "term", "left_semi")

@@ -47,6 +47,13 @@ def test_no_row_of_a_query_and_a_passage_is_shuffled(spark):
     assert cost(spark, lambda: search_frame(df, many, "id", "text", 5).collect()) < 100_000
 
 
+def test_index_search_gathers_each_posting_once(spark, tmp_path):
+    """What a search shuffles doesn't grow with the queries that share a word."""
+    index, one, many = LexicalIndex.build(passages(spark), "id", "text").write(str(tmp_path)), asked(spark, 40, 25), asked(spark, 800, 25)
+    one.count(), many.count()
+    assert cost(spark, lambda: index.search(many, 5).collect()) < 2 * cost(spark, lambda: index.search(one, 5).collect())
+
+
 def test_index_shuffles_packed_postings(spark, tmp_path):
     df = passages(spark, 2000)
     n = post(tokenised(df, "id", "text", F.col("title"))).count()
