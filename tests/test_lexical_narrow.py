@@ -11,7 +11,7 @@ from foliant.plans import queries as plans
 
 #: Queries whose growth was found too steep.
 FOUND = [
-    "title_weight_sweep", "rrf_weight_sweep", "eval_by_group", "rrf_weighted",
+    "title_weight_sweep", "rrf_weight_sweep", "eval_by_group", "rrf_weighted", "rrf_fusion",
 ]
 WORDS = [f"w{i}" for i in range(60)]
 
