@@ -11,7 +11,7 @@ from foliant.plans import queries as plans
 
 #: Queries whose growth was found too steep.
 FOUND = [
-    "title_weight_sweep", "rrf_weight_sweep", "eval_by_group", "rrf_weighted", "rrf_fusion", "eval_misses", "hits_hydrated", "eval_summary", "eval_first_rank", "answer_prompt", "bm25_topk", "hybrid_search", "rerank_model", "rerank_topk", "bm25_weighted_fields",
+    "title_weight_sweep", "rrf_weight_sweep", "eval_by_group", "rrf_weighted", "rrf_fusion", "eval_misses", "hits_hydrated", "eval_summary", "eval_first_rank", "answer_prompt", "bm25_topk", "hybrid_search", "rerank_model", "rerank_topk", "bm25_weighted_fields", "answer_citations",
 ]
 WORDS = [f"w{i}" for i in range(60)]
 
