@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import dropped, fresh, written
+from ..operators.common import BATCH_KEY, dropped, fresh, small_batches, written
 
 __all__ = ["BATCH_KEY", "LETTER", "SPACE", "bounded_batches", "crc_mod", "crc_mod_col", "dropped", "fresh", "release", "slices", "small_batches", "width", "words_of", "written"]
 
@@ -49,9 +49,6 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """For applications, not operators: from now on rows pass to Python in batches of about ``size``, unless the session says
     otherwise. Operators cut what they get by ``slices``; this bounds what Spark itself holds."""
@@ -59,17 +56,6 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(BATCH_KEY, size)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str = "8m"):
-    """Plans that run inside pass rows to Python in batches of about ``size``."""
-    before = spark.conf.get(BATCH_KEY, None)
-    spark.conf.set(BATCH_KEY, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_KEY, before) if before is not None else spark.conf.unset(BATCH_KEY)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at least a row and about ``limit`` bytes of ``column``: Python objects are made of one at a time."""
     for b in batches:

@@ -23,12 +23,14 @@ from pyspark.sql.types import DataType
 
 from ..functions.text import phrases, terms
 from . import postings as arrow
-from .common import BROADCAST_ROWS, bounded, dropped, ranked, written
+from .common import BROADCAST_ROWS, bounded, dropped, ranked, small_batches, written
 
 K1, B = 1.2, 0.75
 #: What an inverse document frequency is at least.
 IDF_FLOOR = 1e-6
 TITLE_WEIGHT, TEXT_WEIGHT = 10.0, 1.0
+#: Words that pass to Python at once.
+BATCH = "16m"
 
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, title: Column | None = None, category: Column | None = None, hyphen: bool = False) -> DataFrame:
@@ -88,7 +90,8 @@ class LexicalIndex:
         spark = self.postings.sparkSession
         if self.docs is None:
             return self._write(path, self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), self.stats)
-        segments = written(arrow.packed(self.docs, ANY), "segments")
+        with small_batches(spark, BATCH):
+            segments = written(arrow.packed(self.docs, ANY), "segments")
         category = arrow.kind(self.docs, "category")
         passages = arrow.unpacked(segments.filter(F.col("first") == ANY), category).select(F.inline(F.arrays_zip("id", "length")).alias("id", "length"))
         counted = statistics(passages).first()
@@ -193,7 +196,8 @@ def search_weights(df: DataFrame, queries: DataFrame, id_col: str, text_col: str
     asked = query_terms(queries, hyphen)
     block = Block.of(asked)
     if block is not None:
-        counts = written(arrow.counted(docs, block.words), "counts")
+        with small_batches(df.sparkSession, BATCH):
+            counts = written(arrow.counted(docs, block.words), "counts")
         stats = statistics(counts).first()
         if unique(counts, stats.n):
             return block.best(counts, counts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df")), stats, weights, k, category)

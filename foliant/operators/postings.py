@@ -33,6 +33,18 @@ def rows_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), sizes
 
 
+def cut(batches, *columns: int, limit: int = 1 << 20):
+    """The batches in parts of at least a row and about ``limit`` values of their lists: arrays are made of one part at a time."""
+    for b in batches:
+        ends = np.cumsum(sum(np.diff(b.column(c).offsets.to_numpy()).astype(np.int64) for c in columns))
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def codes_of(flat: pa.Array, words: pa.Array) -> np.ndarray:
     """Places of the values in ``words``, -1 for others."""
     return pc.fill_null(pc.index_in(flat, value_set=words.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -44,7 +56,7 @@ def counted(docs: DataFrame, words: list[str]) -> DataFrame:
 
     def run(batches):
         words, n_words = pa.array(shared.value, pa.string()), max(1, len(shared.value))
-        for b in batches:
+        for b in cut(batches, 2, 3):
             sums, length = [], np.zeros(b.num_rows, np.int64)
             for column in (2, 3):
                 row, sizes = rows_of(b.column(column))
@@ -72,9 +84,7 @@ def best(counts: DataFrame, ids: list, asked: list[list[int]], idf: list[float],
 
     def run(batches):
         ids, flat, starts, idf = shared.value
-        for b in batches:
-            if not b.num_rows or not len(flat):
-                continue
+        for b in cut(batches, 2) if len(flat) else ():
             b = b.take(pc.sort_indices(b.column(0), null_placement="at_start"))  # ties below then come in the order of the ids
             row, _ = rows_of(b.column(2))
             code, n_title, n_text = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3, 4))
@@ -136,10 +146,8 @@ def packed(docs: DataFrame, every: str) -> DataFrame:
         return out.getvalue().to_pybytes()
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches, 2, 3):
             n = b.num_rows
-            if not n:
-                continue
             b = b.take(pc.sort_indices(b.column(0), null_placement="at_start"))
             (title_row, title_n), (text_row, text_n) = rows_of(b.column(2)), rows_of(b.column(3))
             place = lambda sizes: np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -153,7 +161,8 @@ def packed(docs: DataFrame, every: str) -> DataFrame:
             key = code * n + np.concatenate([text_row[::-1], title_row])
             at = np.concatenate([-1 - place(text_n)[::-1], place(title_n)])
             order = np.argsort(key, kind="stable")
-            key, at = key[order], at[order]
+            key, at = key[order], at[order].astype(np.int32)
+            del code, order
             starts = np.flatnonzero(np.diff(key, prepend=-1))  # of the postings
             ends = np.append(starts, len(key))
             below = np.concatenate([[0], np.cumsum(at < 0)])
@@ -223,8 +232,8 @@ def runs_held(docs: DataFrame, ids: list, items: list[list[str]], most: int, id_
             order, sieve = np.argsort(of_run, kind="stable"), np.zeros(1 << 22, bool)
             sieve[of_run >> np.uint64(42)] = True
             tables.append((m, of_run[order], runs[order], sieve))
-        for b in batches:
-            row, sizes = rows_of(b.column(1))
+        for b in cut(batches, 1):
+            row, _ = rows_of(b.column(1))
             code = codes_of(b.column(1).flatten(), words)
             alien = np.concatenate([[0], np.cumsum(code < 0)])
             pairs = []

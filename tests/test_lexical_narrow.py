@@ -140,3 +140,14 @@ def test_runs_held(spark, monkeypatch):
 def test_truth_explodes_no_runs(spark, sf):
     plan = plans._truth(spark.createDataFrame([], "url string, w array<string>"), spark.createDataFrame([(1, ["a"])], "item_id bigint, w array<string>"))._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_batches_are_cut_by_their_words():
+    """Else a batch of 10,000 passages becomes arrays of all its words at once."""
+    import pyarrow as pa
+
+    lists = [["a"] * n for n in (5, 0, 3, 9, 1, 1, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.string())), pa.array(lists[::-1], pa.list_(pa.string()))], names=["id", "a", "b"])
+    got = list(postings.cut([batch.slice(0, 0), batch, batch.slice(2, 4)], 1, 2, limit=8))
+    assert [i for b in got for i in b.column(0).to_pylist()] == [*range(7), 2, 3, 4, 5]
+    assert all(b.num_rows == 1 or sum(map(len, b.column(1).to_pylist() + b.column(2).to_pylist())) <= 8 for b in got) and len(got) > 5
